@@ -33,9 +33,14 @@ def embed(
 def dot_to_anchor(
     embedded: DataFrame, keys: Sequence[str] = ("doc_id",), anchor_pos: int = 1, vec: str = "vec"
 ) -> DataFrame:
-    """Dot product of the vector at ``anchor_pos`` with every later one of the same sequence."""
-    anchors = embedded.where(F.col("pos") == anchor_pos).select(*keys, F.col(vec).alias("_anchor"))
-    later = embedded.where(F.col("pos") > anchor_pos).join(anchors, list(keys))
+    """Dot product of the vector at ``anchor_pos`` with every later one of the same sequence.
+
+    The window holds one sequence at a time and spills; cut sequences to a length before embedding them.
+    """
+    whole = Window.partitionBy(*keys)
+    anchor = F.first(F.when(F.col("pos") == anchor_pos, F.col(vec)), ignorenulls=True).over(whole)
+    with_anchor = embedded.where(F.col("pos") >= anchor_pos).withColumn("_anchor", anchor)
+    later = with_anchor.where(F.col("pos") > anchor_pos)
     return later.withColumn("dot", vectors.dot(F.col(vec), F.col("_anchor"))).drop("_anchor")
 
 

@@ -1,32 +1,37 @@
-"""A lookup join that keeps hot keys out of the shuffle."""
+"""A lookup join that keeps hot keys from weighing down one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are never more than HOT_SHARE hot keys.
-HOT_SHARE = 1000
+# So many of the most frequent keys are joined by broadcast. Every other key then holds less than 1/HOT_KEYS of
+# the rows, however the rows are distributed.
+HOT_KEYS = 1000
+_SPREAD = 1 << 20
 
 
-def hot_keys(df: DataFrame, on, weight=None, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least ``1/share`` of the rows (or of the summed ``weight``): at most ``share`` keys."""
-    counted = df.groupBy(*on).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
-    total = df.agg((F.count("*") if weight is None else F.sum(weight)).alias("_t")).scalar()
-    return counted.where(F.col("_n") * share >= total).select(*on)
+def hot_keys(df: DataFrame, on, limit: int = HOT_KEYS) -> DataFrame:
+    """The ``limit`` most frequent keys; counted map-side, and each task hands on at most ``limit`` rows."""
+    counted = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    return counted.orderBy(F.desc("_n"), *on).limit(limit).select(*on)
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on, hot: DataFrame | None = None) -> DataFrame:
-    """Left-join ``table`` (unique on ``on``) to ``rows``.
+    """Left-join ``table`` (unique on ``on``) to distinct ``rows``, evaluating ``rows`` once.
 
-    Rows with a hot key meet their at most ``HOT_SHARE`` table rows by broadcast and are never shuffled;
-    all others are shuffled, and none of their keys is big enough to weigh down one task.
+    The table rows of the at most ``HOT_KEYS`` hot keys are broadcast. In the shuffle join that follows, rows with
+    a hot key carry a salt from their own hash: it spreads them evenly and matches nothing, since they have their
+    values already. ``hot`` spares the counting pass when the caller knows the hot keys.
     """
     on = list(on)
-    hot = hot_keys(rows, on) if hot is None else hot
-    hot_table = hot.join(table, on, "left").withColumn("_hot", F.lit(True))
-    flagged = rows.join(F.broadcast(hot_table), on, "left")
     added = [c for c in table.columns if c not in on]
-    hit = flagged.where(F.col("_hot").isNotNull()).drop("_hot")
-    rest = flagged.where(F.col("_hot").isNull()).drop("_hot", *added).join(table, on, "left")
-    return hit.unionByName(rest)
+    hot = hot_keys(rows, on) if hot is None else hot
+    early = hot.join(table, on, "left").select(
+        *on, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added]
+    )
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(early), on, "left").withColumn("_salt", salt.cast("int"))
+    joined = salted.join(table.withColumn("_salt", F.lit(0)), [*on, "_salt"], "left")
+    values = [F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in added]
+    return joined.select(*rows.columns, *values)

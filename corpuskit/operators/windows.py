@@ -27,13 +27,16 @@ def tail(df: DataFrame, length: int = 512, ids: str = "ids") -> DataFrame:
 def row_pairs(df: DataFrame, order: Sequence[str], ids: str = "ids", batch: int = 1000) -> DataFrame:
     """Each row's id array beside the next row's, within consecutive batches of ``batch`` rows.
 
-    ``order`` must be a total order. A window never holds more than ``batch`` rows.
+    ``order`` must be a total order. Only the order columns are ranked; a window never holds more than ``batch``
+    rows.
     """
-    ranked = global_rank(df.select(*order, ids), [F.asc(c) for c in order])
+    ranked = global_rank(df.select(*order), [F.asc(c) for c in order])
     batch_no = F.floor((F.col("rank") - 1) / batch)
     following = F.lead(ids).over(Window.partitionBy("batch_no").orderBy("rank"))
     return (
-        ranked.withColumn("batch_no", batch_no)
+        df.select(*order, ids)
+        .join(ranked, list(order))
+        .withColumn("batch_no", batch_no)
         .withColumn("next_ids", following)
         .where(F.col("next_ids").isNotNull())
         .select(*order, "batch_no", F.col(ids).alias("ids"), "next_ids")

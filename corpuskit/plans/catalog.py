@@ -49,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return readers.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def word_vocab(spark, sf_dir) -> DataFrame:

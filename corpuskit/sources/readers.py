@@ -31,6 +31,17 @@ def load_table(spark: SparkSession, path: str, keep_in_memory: bool = False) ->
     return df.persist() if keep_in_memory else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of an input that comes in fewer splits than there are cores.
+
+    An input with more splits than cores, as any large one has, is left alone and costs no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def peek(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """The first row in a stated order, found without a full sort."""
     return df.orderBy(*order).limit(1)

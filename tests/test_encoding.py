@@ -109,7 +109,7 @@ def test_decode_without_specials_is_normalised_text(spark, vocab):
 def test_hot_keys_are_bounded_and_joined_once(spark):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 4000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    assert [r.k for r in joins.hot_keys(left, ["k"]).collect()] == [0]
-    got = joins.lookup_join(left, right, ["k"])
+    assert [r.k for r in joins.hot_keys(left, ["k"], 1).collect()] == [0]
+    got = joins.lookup_join(left, right, ["k"], joins.hot_keys(left, ["k"], 2))
     want = left.join(right, "k", "left")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -29,6 +29,8 @@ from corpuskit.sources import cache, readers
 
 WORDS = 4000
 PIECES = 3000
+TRAINED = 400
+FITTED = 206
 VOCAB = WORDS + len(tx.SPECIALS)
 SEED = 7
 
@@ -294,7 +296,7 @@ def vocab_saved(spark, sf_dir):
 @query
 def train_wordpiece(spark, sf_dir):
     """A trained vocabulary of 400 pieces."""
-    return flows.tokenizer_from_texts(documents(spark, sf_dir), 400)
+    return flows.tokenizer_from_texts(documents(spark, sf_dir), TRAINED)
 
 
 # Encoding
@@ -533,7 +535,7 @@ def fit_cbow(spark, sf_dir):
 
 def _losses(spark, sf_dir, model):
     docs = documents(spark, sf_dir)
-    vocab = vocabulary.word_vocab(vocabulary.word_counts(docs), 200)
+    vocab = vocabulary.word_vocab(vocabulary.word_counts(docs), FITTED - len(tx.SPECIALS))
     fitted = flows.embedding_from_texts(docs, vocab, model, dim=16, epochs=3)
     return spark.createDataFrame(
         [(step, round(float(loss), 6)) for step, loss in enumerate(fitted.losses)], "step int, loss double"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.plans.catalog import PIECES, SEED, VOCAB
+from corpuskit.plans.catalog import FITTED, PIECES, SEED, TRAINED, VOCAB
 
 # The two word classes spelled out by category, since RE2 knows neither as one name.
 _WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
@@ -127,6 +127,95 @@ emb AS (SELECT doc_id, (i - 1)::int AS pos, id, vec
 _LOG = "log AS (SELECT user_id AS run, event_id AS step, ts, value AS loss FROM events)"
 
 
+_LEARNED = f"""{_COUNTS},
+chars AS (SELECT word, i, substr(word, i::int, 1) AS ch FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM wc)),
+base AS (SELECT DISTINCT ch AS piece, 0 AS inside FROM chars UNION SELECT DISTINCT '##' || ch, 1 FROM chars WHERE i > 1),
+merges(key, n, packed, a, b, step) USING KEY (key) AS (
+  SELECT word, n, ' ' || string_agg(CASE WHEN i = 1 THEN '' ELSE '##' END || ch, '  ' ORDER BY i) || ' ', '', '', 0
+  FROM chars JOIN wc USING (word) GROUP BY word, n
+  UNION ALL
+  (WITH state AS (SELECT * FROM recurring.merges),
+  parts AS (SELECT n, string_split(trim(packed), '  ') AS p FROM state
+            WHERE packed IS NOT NULL AND contains(packed, '  ')),
+  pairs AS (SELECT n, p[i] AS a, p[i + 1] AS b FROM (SELECT n, p, unnest(range(1, len(p))) AS i FROM parts)),
+  made AS (SELECT count(DISTINCT a || substr(b, 3)) AS k FROM state
+           WHERE packed IS NULL AND a || substr(b, 3) NOT IN (SELECT piece FROM base)),
+  best AS (SELECT a, b, (SELECT max(step) FROM state) + 1 AS step FROM pairs
+           WHERE (SELECT k FROM made) < {TRAINED - 6} - (SELECT count(*) FROM base)
+           GROUP BY a, b ORDER BY sum(n) DESC, a, b LIMIT 1)
+  SELECT s.key, s.n, replace(s.packed, ' ' || best.a || '  ' || best.b || ' ', ' ' || best.a || substr(best.b, 3) || ' '),
+         '', '', best.step
+  FROM state s, best WHERE s.packed IS NOT NULL AND contains(s.packed, ' ' || best.a || '  ' || best.b || ' ')
+  UNION ALL SELECT ' merge ' || best.step, 0, NULL, best.a, best.b, best.step FROM best)),
+learned AS (SELECT a || substr(b, 3) AS piece, min(step) AS step FROM merges
+            WHERE packed IS NULL AND a || substr(b, 3) NOT IN (SELECT piece FROM base) GROUP BY 1)"""
+
+
+def _fit(examples: str, epochs: int, dim: int, decay: float, normal: bool, bias: bool) -> str:
+    """Full-batch softmax fit on ``ex (ctx, target, n)``, one column per dimension, one set of tables per step."""
+    dims = range(1, dim + 1)
+    lr = f"{1 / dim}::double"
+
+    def each(text: str) -> str:
+        return ", ".join(text.format(i=i) for i in dims)
+
+    def start(seed: int) -> str:
+        raw = each(_fraction("id || ':{i}'").replace(f"'{SEED}:'", f"'{seed}:'") + " - 0.5::double AS r{i}")
+        length = "sqrt(" + " + ".join(f"r{i} * r{i}" for i in dims) + ")"
+        return (
+            f"SELECT id, {each(f'r{{i}} / {length} AS w{{i}}, 0::double AS s{{i}}')}, 0::double AS b, 0::double AS bs "
+            f"FROM (SELECT id, {raw} FROM (SELECT unnest(range({FITTED}))::int AS id))"
+        )
+
+    def step(table: str, grads: str, with_bias: bool) -> str:
+        moved = each(
+            "w{i} - " + lr + " * d{i} / (sqrt(s{i} + d{i} * d{i}) + 1e-10::double) AS w{i}, s{i} + d{i} * d{i} AS s{i}"
+        )
+        shift = f"b - {lr} * db / (sqrt(bs + db * db) + 1e-10::double) AS b, bs + db * db AS bs" if with_bias else "b, bs"
+        inner = each(f"coalesce(g{{i}}, 0) + {decay}::double * w{{i}} AS d{{i}}")
+        row = (
+            f"SELECT id, {moved}, {shift} FROM (SELECT t.*, {inner}, coalesce(gb, 0) + {decay}::double * b AS db "
+            f"FROM {table} t LEFT JOIN {grads} USING (id))"
+        )
+        if not normal:
+            return row
+        length = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in dims) + ")"
+        return f"SELECT id, {each(f'w{{i}} / {length} AS w{{i}}, s{{i}}')}, b, bs FROM ({row})"
+
+    dot = " + ".join(f"x.w{i} * o.w{i}" for i in dims)
+    parts = [
+        examples,
+        "cx AS MATERIALIZED (SELECT ctx, sum(n) AS total FROM ex GROUP BY ctx)",
+        "size AS MATERIALIZED (SELECT sum(n)::double AS n FROM ex)",
+        f"i0 AS MATERIALIZED ({start(0)})",
+        f"o0 AS MATERIALIZED ({start(1)})",
+    ]
+    for e in range(epochs):
+        parts += [
+            f"""x{e} AS MATERIALIZED (SELECT ctx, any_value(total) AS total, {each("sum(w{i}) AS w{i}")}
+                FROM (SELECT ctx, total, unnest(ctx) AS id FROM cx) JOIN i{e} USING (id) GROUP BY ctx)""",
+            f"""s{e} AS MATERIALIZED (SELECT x.ctx, o.id AS target, {dot} + o.b AS s FROM x{e} x, o{e} o)""",
+            f"z{e} AS MATERIALIZED (SELECT ctx, ln(sum(exp(s))) AS z FROM s{e} GROUP BY ctx)",
+            f"""g{e} AS MATERIALIZED (SELECT ctx, target, (exp(s - z) * total - coalesce(n, 0)) / (SELECT n FROM size) AS g
+                FROM s{e} JOIN z{e} USING (ctx) JOIN cx USING (ctx) LEFT JOIN ex USING (ctx, target))""",
+            f"""l{e} AS (SELECT {e} AS step, sum(n * (z - s)) / (SELECT n FROM size) AS loss
+                FROM ex JOIN s{e} USING (ctx, target) JOIN z{e} USING (ctx))""",
+            f"""og{e} AS (SELECT target AS id, {each("sum(g * x.w{i}) AS g{i}")}, sum(g) AS gb
+                FROM g{e} JOIN x{e} x USING (ctx) GROUP BY target)""",
+            f"""cg{e} AS (SELECT ctx, {each("sum(g * o.w{i}) AS g{i}")} FROM g{e} JOIN o{e} o ON o.id = target GROUP BY ctx)""",
+            f"""ig{e} AS (SELECT id, {each("sum(g{i}) AS g{i}")}, 0::double AS gb
+                FROM (SELECT unnest(ctx) AS id, * FROM cg{e}) GROUP BY id)""",
+            f"i{e + 1} AS MATERIALIZED ({step(f'i{e}', f'ig{e}', False)})",
+            f"o{e + 1} AS MATERIALIZED ({step(f'o{e}', f'og{e}', bias)})",
+        ]
+    losses = " UNION ALL ".join(f"SELECT * FROM l{e}" for e in range(epochs))
+    return ", ".join(parts) + f" SELECT step, round(loss, 6) AS loss FROM ({losses})"
+
+
+_FIT_IDS = f"""{_CONTENT.replace(f"id < {VOCAB}", f"id < {FITTED}")},
+cut AS (SELECT [1::int] || ids[1:1022] || [3::int] AS ids FROM coded)"""
+
+
 def _text_md5(rows: str, keys: str, text: str = "text") -> str:
     return f"SELECT {keys}, length({text})::int AS n_chars, md5({text}) AS text_md5 FROM ({rows})"
 
@@ -191,6 +280,12 @@ ORACLE: dict[str, str] = {
         SELECT unnest(range(6))::int, unnest(['[UNK]', '[CLS]', '[SEP]', '[EOS]', '[PAD]', '[MASK]']), 'special'""",
     "vocab_saved": f"""WITH RECURSIVE {_VOCAB} SELECT id, piece, 'piece' AS kind FROM pv UNION ALL
         SELECT unnest(range(6))::int, unnest(['[UNK]', '[CLS]', '[SEP]', '[EOS]', '[PAD]', '[MASK]']), 'special'""",
+    "train_wordpiece": f"""WITH RECURSIVE {_LEARNED}
+        SELECT unnest(range(6))::int AS id, unnest(['[UNK]', '[CLS]', '[SEP]', '[EOS]', '[PAD]', '[MASK]']) AS piece,
+               'special' AS kind
+        UNION ALL SELECT (5 + row_number() OVER (ORDER BY inside, piece))::int, piece, 'piece' FROM base
+        UNION ALL SELECT (5 + (SELECT count(*) FROM base) + row_number() OVER (ORDER BY step))::int, piece, 'piece'
+        FROM learned""",
     "encode_word_vocab": f"WITH RECURSIVE {_ENCODED} SELECT doc_id, len(ids)::int AS n_ids, {_md5('ids')} AS ids_md5 FROM enc",
     "encode_distinct_words": f"""WITH RECURSIVE {_FRAGMENTS}, {_greedy("docw", "doc_id")}
         SELECT word, len(ids)::int AS n_ids, {_md5("ids")} AS ids_md5 FROM greedy""",
@@ -275,6 +370,18 @@ ORACLE: dict[str, str] = {
         round(sum(m * loss) / sum(m), 6) AS cross_entropy FROM scored""",
     "cross_entropy_by_document": f"""WITH RECURSIVE {_HELD_OUT} SELECT doc_id, sum(m)::bigint AS n_labels,
         round(sum(m * loss) / sum(m), 6) AS cross_entropy FROM scored GROUP BY doc_id""",
+    "fit_skipgram": f"WITH RECURSIVE {_FIT_IDS}, "
+    + _fit(
+        """ex AS MATERIALIZED (SELECT [a] AS ctx, b AS target, count(*) AS n FROM (SELECT ids[i] AS a, ids[i + 1] AS b
+        FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM cut)) GROUP BY a, b)""",
+        epochs=3, dim=16, decay=0.01, normal=False, bias=False,
+    ),
+    "fit_cbow": f"WITH RECURSIVE {_FIT_IDS}, "
+    + _fit(
+        """ex AS MATERIALIZED (SELECT list_sort([ids[i], ids[i + 2]]) AS ctx, ids[i + 1] AS target, count(*) AS n
+        FROM (SELECT ids, unnest(range(2, len(ids) - 2)) AS i FROM cut) GROUP BY ALL)""",
+        epochs=3, dim=16, decay=0.01, normal=True, bias=True,
+    ),
     "l2_normalize": f"""WITH RECURSIVE {_UNIT} SELECT id, (i - 1)::int AS pos, round(vec[i], 6) AS x
         FROM (SELECT id, vec, unnest(range(1, len(vec) + 1)) AS i FROM unit)""",
     "embed_lookup": f"WITH RECURSIVE {_PLACED} SELECT doc_id, pos, id, round(list_sum(vec), 6) AS vec_sum FROM emb",

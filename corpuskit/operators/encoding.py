@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import sequences
-from corpuskit.functions.text import SPECIALS, special_mark, words
+from corpuskit.functions.text import LEGACY_SPECIALS, SPECIALS, special_mark, words
 from corpuskit.operators.joins import lookup_join
 
 MAX_BROADCAST_PIECES = 1_000_000
@@ -190,18 +190,43 @@ def _encode_by_join(df, vocab, split: Column, out: str, keys: list[str], special
     return df.join(regrouped, keys, "left").withColumn(out, ids).drop("_parts")
 
 
-def encode_single(df: DataFrame, vocab: DataFrame, max_length: int | None = None, pad_id: int | None = None, **options):
-    """Template, optional truncation and optional padding around :func:`encode`, in the order of the tokenizer."""
+def encode_single(
+    df: DataFrame,
+    vocab: DataFrame,
+    max_length: int | None = None,
+    pad_id: int | None = None,
+    end: str = "[EOS]",
+    **options,
+) -> DataFrame:
+    """Template, optional truncation and optional padding around :func:`encode`, in the order of the tokenizer.
+
+    Special pieces have their place in the list as id. The older layout is
+    ``specials=LEGACY_SPECIALS, end="[SEP]"``.
+    """
+    specials = options.get("specials", SPECIALS)
     out = options.get("out", "ids")
     ids = F.col(out)
     if max_length is not None:
         ids = sequences.truncate(ids, max_length)
-    ids = sequences.single_template(ids)
+    ids = sequences.single_template(ids, specials.index("[CLS]"), specials.index(end))
     if pad_id is not None:
         ids = sequences.pad(ids, max_length, pad_id)
     return encode(df, vocab, **options).withColumn(out, ids)
 
 
+def encode_pair(
+    df: DataFrame, vocab: DataFrame, first: str, second: str, legacy: bool = False, **options
+) -> DataFrame:
+    """Two texts per row as one sequence ``ids`` with ``type_ids``, 1 for the second text."""
+    specials = LEGACY_SPECIALS if legacy else SPECIALS
+    both = encode(df, vocab, text=first, out="_a", specials=specials, **options)
+    both = encode(both, vocab, text=second, out="_b", specials=specials, **options)
+    end = "[SEP]" if legacy else "[EOS]"
+    places = [specials.index(piece) for piece in ("[CLS]", "[SEP]", end)]
+    pair = sequences.pair_template(F.col("_a"), F.col("_b"), *places, end_type=int(legacy))
+    return both.withColumn("_pair", pair).select(*df.columns, "_pair.ids", "_pair.type_ids")
+
+
 def _piece_lookup(spark, by_id: dict[int, str], unknown: str):
     size = max(by_id, default=-1) + 1
     shared = spark.sparkContext.broadcast([by_id.get(i, unknown) for i in range(size)] + [unknown])

@@ -44,7 +44,7 @@ def packed_pieces(word: Column) -> Column:
 
 
 def unpacked_pieces(packed: Column) -> Column:
-    return F.split(F.trim(packed), "  ")
+    return F.split(F.replace(F.trim(packed), F.lit("  "), F.lit(" ")), " ")
 
 
 def merged_piece(a: str, b: str) -> str:

@@ -333,12 +333,14 @@ def encode_chat(spark, sf_dir):
 
 @query
 def add_template_pair(spark, sf_dir):
-    """First user turn and the turn after it as one pair with type ids."""
+    """First turn of a conversation and the turn after it as one pair with type ids."""
     turns = table(spark, sf_dir, "conversations").where("turn < 2")
-    ids = encoding.encode(turns, word_vocab(spark, sf_dir), keys=["conv_id", "turn"]).select("conv_id", "turn", "ids")
-    first, second = ids.where("turn = 0"), ids.where("turn = 1").select("conv_id", F.col("ids").alias("b"))
-    pair = sequences.pair_template(F.col("ids"), F.col("b"))
-    paired = first.join(second, "conv_id").select("conv_id", pair.alias("p")).select("conv_id", "p.*")
+    pairs = turns.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("first"),
+        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("second"),
+    )
+    whole = pairs.where("first IS NOT NULL AND second IS NOT NULL")
+    paired = encoding.encode_pair(whole, word_vocab(spark, sf_dir), "first", "second", keys=["conv_id"])
     return with_digest(paired.withColumn("n_type1", F.size(F.filter("type_ids", lambda x: x == 1))), "conv_id", "n_type1")
 
 

@@ -79,6 +79,24 @@ def test_truncation_and_padding_match_library(rows, vocab, library):
         library.no_padding()
 
 
+@pytest.mark.parametrize("limit", [encoding.MAX_BROADCAST_PIECES, 3])
+def test_pairs_match_library(rows, vocab, library, limit):
+    pairs = rows.withColumn("other", F.reverse("text"))
+    for r in encoding.encode_pair(pairs, vocab, "text", "other", limit=limit).collect():
+        want = library.encode(r.text, r.other)
+        assert (r.ids, r.type_ids) == (want.ids, want.type_ids)
+
+
+def test_older_layout(spark):
+    pieces = list(tx.LEGACY_SPECIALS) + ["a", "b"]
+    old = spark.createDataFrame([(i, p, "piece") for i, p in enumerate(pieces)], vocabulary.VOCAB_SCHEMA)
+    df = spark.createDataFrame([(1, "a b[PAD]", "b")], "doc_id int, text string, other string")
+    single = encoding.encode_single(df, old, max_length=8, pad_id=3, end="[SEP]", specials=tx.LEGACY_SPECIALS)
+    assert single.first().ids == [1, 5, 6, 3, 2, 3, 3, 3]
+    pair = encoding.encode_pair(df, old, "text", "other", legacy=True).first()
+    assert (pair.ids, pair.type_ids) == ([1, 5, 6, 3, 2, 6, 2], [0, 0, 0, 0, 0, 1, 1])
+
+
 def test_null_text_counts_as_empty(spark, vocab):
     df = spark.createDataFrame([(1, None)], "doc_id int, text string")
     for limit in (encoding.MAX_BROADCAST_PIECES, 3):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import sequences, vectors
@@ -24,7 +24,7 @@ from corpuskit.operators import (
     wordpiece,
 )
 from corpuskit.plans import flows
-from corpuskit.session import configure, scratch_root, write_stage
+from corpuskit.session import configure, scratch_path, scratch_root, write_stage
 from corpuskit.sources import cache, readers
 
 WORDS = 4000
@@ -85,7 +85,7 @@ def jsonl_render(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     entry = F.struct("turn", "role", F.col("text").alias("content"))
     records = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("messages"))
-    path = write_stage(records.limit(0), "jsonl").path + "-lines"
+    path = scratch_path(spark, "jsonl")
     records.write.json(path)
     schema = "conv_id bigint, messages array<struct<role: string, content: string>>"
     return text_digest(templates.render_messages(readers.read_jsonl(spark, path, schema), keys=["conv_id"]), "conv_id")
@@ -145,19 +145,17 @@ def source_views(spark, sf_dir):
 
 @query
 def map_batches(spark, sf_dir):
-    """A batch function that drops short texts and repeats long ones, so the row count changes."""
+    """A batch function that turns every text into its lines, so the row count changes."""
 
-    def fn(batch):
-        out = {"doc_id": [], "copy": [], "n_chars": []}
-        for doc_id, size in zip(batch["doc_id"], batch["n_chars"]):
-            for copy in range(min(size // 1000, 3)):
-                out["doc_id"].append(doc_id)
-                out["copy"].append(copy)
-                out["n_chars"].append(size)
-        return out
+    def lines(batch):
+        found = [
+            (doc_id, i, len(line))
+            for doc_id, text in zip(batch["doc_id"], batch["text"])
+            for i, line in enumerate(text.split("\n"))
+        ]
+        return {name: [row[k] for row in found] for k, name in enumerate(("doc_id", "line_no", "n_chars"))}
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return projection.map_batches(docs, fn, "doc_id bigint, copy bigint, n_chars bigint")
+    return projection.map_batches(documents(spark, sf_dir), lines, "doc_id bigint, line_no int, n_chars int")
 
 
 # Templates
@@ -288,7 +286,7 @@ def build_vocab(spark, sf_dir):
 @query
 def vocab_saved(spark, sf_dir):
     """A vocabulary after saving and loading, with its size."""
-    path = write_stage(spark.range(0), "vocab").path + "-saved"
+    path = scratch_path(spark, "vocab")
     vocabulary.save_vocab(word_vocab(spark, sf_dir), path)
     return vocabulary.load_vocab(spark, path)
 
@@ -333,15 +331,12 @@ def encode_chat(spark, sf_dir):
 
 @query
 def add_template_pair(spark, sf_dir):
-    """First turn of a conversation and the turn after it as one pair with type ids."""
-    turns = table(spark, sf_dir, "conversations").where("turn < 2")
-    pairs = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("first"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("second"),
-    )
-    whole = pairs.where("first IS NOT NULL AND second IS NOT NULL")
-    paired = encoding.encode_pair(whole, word_vocab(spark, sf_dir), "first", "second", keys=["conv_id"])
-    return with_digest(paired.withColumn("n_type1", F.size(F.filter("type_ids", lambda x: x == 1))), "conv_id", "n_type1")
+    """Every turn and the turn after it as one pair with type ids."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn("next", following).where("next IS NOT NULL")
+    paired = encoding.encode_pair(turns, word_vocab(spark, sf_dir), "text", "next", keys=["conv_id", "turn"])
+    second = F.size(F.filter("type_ids", lambda x: x == 1))
+    return with_digest(paired.withColumn("n_type1", second), "conv_id", "turn", "n_type1")
 
 
 @query
@@ -551,11 +546,14 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vec"))
 
 
-def _unit_sequences(spark, sf_dir):
-    """Documents as ids that all have a vector, and the unit vectors."""
+def _embedded_documents(spark, sf_dir) -> DataFrame:
+    """Unit vectors of all ids of all documents, under a vocabulary as large as the vector table."""
     unit = embedding.normalize_table(_vectors(spark, sf_dir))
-    ids = F.filter(F.slice("ids", 1, 24), lambda x: x < 500)
-    return encoded(spark, sf_dir).withColumn("ids", ids), unit
+    docs = documents(spark, sf_dir)
+    vocab = vocabulary.build_vocab(
+        vocabulary.word_counts(docs).select(F.col("word").alias("piece"), "n"), size=unit.count()
+    )
+    return embedding.embed(encoding.encode_single(docs, vocab), unit)
 
 
 @query
@@ -566,17 +564,15 @@ def l2_normalize(spark, sf_dir):
 
 @query
 def embed_lookup(spark, sf_dir):
-    """Vectors of each document's ids, as one checksum per position."""
-    ids, unit = _unit_sequences(spark, sf_dir)
+    """The vector of every position, as one checksum."""
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
-    return embedding.embed(ids, unit).select("doc_id", "pos", "id", F.round(total, 6).alias("vec_sum"))
+    return _embedded_documents(spark, sf_dir).select("doc_id", "pos", "id", F.round(total, 6).alias("vec_sum"))
 
 
 @query
 def dot_to_anchor(spark, sf_dir):
     """Each document's second vector against all later ones."""
-    ids, unit = _unit_sequences(spark, sf_dir)
-    dots = embedding.dot_to_anchor(embedding.embed(ids, unit))
+    dots = embedding.dot_to_anchor(_embedded_documents(spark, sf_dir))
     return dots.select("doc_id", "pos", "id", F.round("dot", 6).alias("dot"))
 
 
@@ -597,7 +593,7 @@ def top_neighbors(spark, sf_dir):
 @query
 def embedding_saved(spark, sf_dir):
     """A vector table after export and import: norms."""
-    path = write_stage(spark.range(0), "embedding").path + "-saved"
+    path = scratch_path(spark, "embedding")
     embedding.export_embedding(_vectors(spark, sf_dir), path)
     loaded = embedding.load_embedding(spark, path)
     return loaded.select("id", F.round(vectors.norm(F.col("vec")), 6).alias("norm"))
@@ -618,7 +614,7 @@ def loss_log_read(spark, sf_dir):
     """Losses written as one JSON array per run and read back as steps."""
     losses = F.array_sort(F.collect_list(F.struct("step", "loss")))["loss"]
     arrays = _log(spark, sf_dir).groupBy("run").agg(losses.alias("losses"))
-    path = write_stage(spark.range(0), "log").path + "-json"
+    path = scratch_path(spark, "log")
     arrays.select("run", F.to_json("losses").alias("value")).write.partitionBy("run").option("lineSep", " ").text(path)
     read = readers.load_loss_log(spark, f"{path}/run=*")
     run = F.regexp_extract("run", r"/run=(\d+)/", 1).cast("bigint")

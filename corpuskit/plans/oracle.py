@@ -118,10 +118,9 @@ _UNIT = """unit AS (SELECT vec_id::int AS id,
   list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS vec
   FROM embeddings)"""
 
-_PLACED = f"""{_ENCODED}, {_UNIT},
-short AS (SELECT doc_id, list_filter(ids[1:24], lambda x: x < 500) AS ids FROM enc),
+_PLACED = f"""{_ENCODED.replace(f"id < {VOCAB}", "id < (SELECT count(*) FROM embeddings)")}, {_UNIT},
 emb AS (SELECT doc_id, (i - 1)::int AS pos, id, vec
-        FROM (SELECT doc_id, i, ids[i] AS id FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM short))
+        FROM (SELECT doc_id, i, ids[i] AS id FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM enc))
         LEFT JOIN unit USING (id))"""
 
 _LOG = "log AS (SELECT user_id AS run, event_id AS step, ts, value AS loss FROM events)"
@@ -236,7 +235,9 @@ ORACLE: dict[str, str] = {
     "source_views": """
         SELECT c_custkey, 'name' AS view, c_custkey::varchar AS key, c_name AS answer FROM customer
         UNION ALL SELECT c_custkey, 'segment', c_custkey::varchar, c_mktsegment FROM customer""",
-    "map_batches": """SELECT doc_id, unnest(range(least(n_chars // 1000, 3)))::bigint AS copy, n_chars FROM documents""",
+    "map_batches": """SELECT doc_id, (i - 1)::int AS line_no, length(line)::int AS n_chars FROM
+        (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""",
     "render_fields_customer": """SELECT c_custkey, 'c_name' || chr(10) || c_name || chr(10) || 'end' || chr(10)
         || 'c_mktsegment' || chr(10) || c_mktsegment || chr(10) || 'end' || chr(10)
         || 'c_nationkey' || chr(10) || c_nationkey || chr(10) || 'end' || chr(10)
@@ -300,11 +301,12 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, len(list_filter(ids, lambda x: x = 2))::int AS n_sep, len(ids)::int AS n_ids,
                {_md5("ids")} AS ids_md5 FROM e""",
     "add_template_pair": f"""WITH RECURSIVE {_VOCAB},
-        cw AS (SELECT conv_id, turn, {_words("text")} AS ws FROM conversations WHERE turn < 2),
+        cw AS (SELECT conv_id, turn, {_words("text")} AS ws FROM conversations),
         {_greedy("cw", "conv_id, turn")},
-        p AS (SELECT a.conv_id, [1::int] || a.ids || [2::int] || b.ids || [3::int] AS ids, len(b.ids) AS n FROM coded a
-              JOIN coded b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
-        SELECT conv_id, n::int AS n_type1, len(ids)::int AS n_ids, {_md5("ids")} AS ids_md5 FROM p""",
+        p AS (SELECT conv_id, turn, ids, lead(ids) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM coded),
+        e AS (SELECT conv_id, turn, [1::int] || ids || [2::int] || nx || [3::int] AS ids, len(nx) AS n FROM p
+              WHERE nx IS NOT NULL)
+        SELECT conv_id, turn, n::int AS n_type1, len(ids)::int AS n_ids, {_md5("ids")} AS ids_md5 FROM e""",
     "token_strings": f"""WITH RECURSIVE {_ENCODED}, {_PIECES_OF},
         e AS (SELECT doc_id, list(piece ORDER BY i) AS ts FROM pieces GROUP BY doc_id)
         SELECT doc_id, len(ts)::int AS n_ids, md5(array_to_string(ts, ' ')) AS tokens_md5 FROM e""",

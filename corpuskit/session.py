@@ -44,6 +44,11 @@ def scratch_root(spark: SparkSession) -> str:
     return scratch_root(spark)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_root(spark)}/stages/{label}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Stage:
     """A result written to the scratch folder, with the plan that reads it back."""
@@ -61,6 +66,6 @@ class Stage:
 def write_stage(df: DataFrame, label: str) -> Stage:
     """Write ``df`` to the scratch folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/stages/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return Stage(spark.read.schema(df.schema).parquet(path), path)

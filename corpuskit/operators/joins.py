@@ -31,7 +31,9 @@ def lookup_join(rows: DataFrame, table: DataFrame, on, hot: DataFrame | None = N
         *on, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added]
     )
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
-    salted = rows.join(F.broadcast(early), on, "left").withColumn("_salt", salt.cast("int"))
-    joined = salted.join(table.withColumn("_salt", F.lit(0)), [*on, "_salt"], "left")
+    salted = rows.join(F.broadcast(early), on, "left").withColumn("_salt", salt.cast("bigint"))
+    # Always 0, but no literal: a literal would be folded out of the join keys and the salt with it.
+    unsalted = F.pmod(F.xxhash64(*on), F.lit(1)).cast("bigint")
+    joined = salted.join(table.withColumn("_salt", unsalted), [*on, "_salt"], "left")
     values = [F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in added]
     return joined.select(*rows.columns, *values)

@@ -31,15 +31,19 @@ def hash_cutoff(
     edge = (
         cumulated.withColumn("wanted", wanted.cast("bigint"))
         .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("bucket", "total", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
+        .select("bucket", "n", "total", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
         .first()
     )
     if strict and n and (edge is None or edge["total"] < n):
         raise ValueError(f"fewer than {n} rows")
     if edge is None:
         return None
-    inside = hashed.where(bucket == edge["bucket"]).orderBy("h").limit(edge["need"])
-    return inside.agg(F.max("h")).first()[0]
+    beyond = edge["n"] > edge["need"]
+    taken = hashed.where(bucket == edge["bucket"]).orderBy("h").limit(edge["need"] + int(beyond))
+    last = taken.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("h")).limit(2).collect()
+    if beyond and last[0]["n"] > 1:
+        raise ValueError(f"{list(keys)} do not identify a row")
+    return last[int(beyond)]["h"]
 
 
 def within_cutoff(keys, seed, cutoff: str | None) -> Column:

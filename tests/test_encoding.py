@@ -131,3 +131,20 @@ def test_hot_keys_are_bounded_and_joined_once(spark):
     got = joins.lookup_join(left, right, ["k"], joins.hot_keys(left, ["k"], 2))
     want = left.join(right, "k", "left")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hot_key_is_spread_over_partitions(spark):
+    rows = spark.range(40000).select(F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("k"), "id")
+    table = spark.range(40000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = joins.lookup_join(rows, table, ["k"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40000 and max(sizes) < 40000 / 4
+        assert joined.where("v <> 2 * k").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -41,6 +41,14 @@ def test_sample_n_is_exact(spark, n):
     assert got == set(sorted(range(500), key=lambda i: key(42, i))[:n])
 
 
+def test_cut_through_copies_is_refused(spark):
+    copies = spark.range(10).crossJoin(spark.range(4).withColumnRenamed("id", "copy"))
+    with pytest.raises(ValueError):
+        mixing.sample_n(copies, 6, ["id"])
+    assert mixing.sample_n(copies, 8, ["id"]).count() == 8
+    assert mixing.sample_n(copies, 6, ["id", "copy"]).count() == 6
+
+
 def test_sample_n_needs_enough_rows(spark):
     with pytest.raises(ValueError):
         mixing.sample_n(spark.range(5), 6, ["id"])

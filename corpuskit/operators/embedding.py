@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import vectors
-from corpuskit.operators.joins import lookup_join
+from corpuskit.operators.joins import HOT_KEYS, hot_keys, lookup_join
 from corpuskit.operators.ranking import global_rank
+from corpuskit.session import write_stage
 
 # Anchors handled per pass: the broadcast matrix has this many rows at most.
 ANCHOR_BLOCK = 2048
@@ -31,17 +32,31 @@ def embed(
 
 
 def dot_to_anchor(
-    embedded: DataFrame, keys: Sequence[str] = ("doc_id",), anchor_pos: int = 1, vec: str = "vec"
+    df: DataFrame,
+    table: DataFrame,
+    ids: str = "ids",
+    keys: Sequence[str] = ("doc_id",),
+    anchor_pos: int = 1,
+    id: str = "id",
+    vec: str = "vec",
 ) -> DataFrame:
-    """Dot product of the vector at ``anchor_pos`` with every later one of the same sequence.
+    """Rows ``(pos, id, dot)``: the vector at ``anchor_pos`` with every later one of the same sequence.
 
-    The window holds one sequence at a time and spills; cut sequences to a length before embedding them.
+    A dot product depends on the two ids only, so it is computed once per distinct pair of ids; positions are
+    shuffled as ids and never carry vectors.
     """
-    whole = Window.partitionBy(*keys)
-    anchor = F.first(F.when(F.col("pos") == anchor_pos, F.col(vec)), ignorenulls=True).over(whole)
-    with_anchor = embedded.where(F.col("pos") >= anchor_pos).withColumn("_anchor", anchor)
-    later = with_anchor.where(F.col("pos") > anchor_pos)
-    return later.withColumn("dot", vectors.dot(F.col(vec), F.col("_anchor"))).drop("_anchor")
+    later = F.slice(ids, anchor_pos + 2, F.greatest(F.size(ids) - anchor_pos - 1, F.lit(0)))
+    placed = df.select(
+        *keys, F.get(ids, F.lit(anchor_pos)).alias("_anchor"), F.posexplode(later).alias("pos", id)
+    ).withColumn("pos", F.col("pos") + anchor_pos + 1)
+    pairs = write_stage(placed.groupBy("_anchor", id).agg(F.count("*").alias("_n")), "pairs").df
+    looked = lookup_join(pairs, table.select(id, vec), [id])
+    anchors = table.select(F.col(id).alias("_anchor"), F.col(vec).alias("_anchor_vec"))
+    dots = lookup_join(looked, anchors, ["_anchor"], hot_keys(pairs, ["_anchor"])).select(
+        "_anchor", id, vectors.dot(F.col(vec), F.col("_anchor_vec")).alias("dot")
+    )
+    hot = pairs.orderBy(F.desc("_n"), "_anchor", id).limit(HOT_KEYS).select("_anchor", id)
+    return lookup_join(placed, dots, ["_anchor", id], hot).drop("_anchor")
 
 
 def dot_to_row(table: DataFrame, anchor_id, id: str = "id", vec: str = "vec") -> DataFrame:

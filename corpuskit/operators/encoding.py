@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def _marks(ids: dict[str, int], specials: Sequence[str]) -> dict[str, int]:
 
 
 def _id_lookup(spark, ids: dict[str, int], specials: Sequence[str]):
-    """An Arrow function from arrays of words to arrays of ids."""
+    """An Arrow function from words set apart by blanks to arrays of ids; words hold no blanks themselves."""
     shared = spark.sparkContext.broadcast((ids, max(map(len, ids), default=1), _marks(ids, specials)))
     unknown = ids[specials[0]]
     memory: dict[str, list[int]] = {}
@@ -71,8 +72,9 @@ def _id_lookup(spark, ids: dict[str, int], specials: Sequence[str]):
         pieces, longest, marks = shared.value
         if len(memory) > _MEMORY_WORDS:
             memory.clear()
-        starts = column.offsets.to_numpy()
-        coded = column.flatten().dictionary_encode()
+        listed = pc.split_pattern(column, " ")
+        starts = listed.offsets.to_numpy()
+        coded = listed.flatten().dictionary_encode()
         encoded = []
         for word in coded.dictionary.to_pylist():
             found = memory.get(word)
@@ -82,8 +84,7 @@ def _id_lookup(spark, ids: dict[str, int], specials: Sequence[str]):
             encoded.append(found)
         per_word = pa.array(encoded, pa.list_(pa.int32())).take(coded.indices)
         ends = np.concatenate(([0], per_word.value_lengths().to_numpy().cumsum()))
-        offsets = pa.array(ends[starts - starts[0]], pa.int32())
-        return pa.ListArray.from_arrays(offsets, per_word.flatten(), mask=column.is_null())
+        return pa.ListArray.from_arrays(pa.array(ends[starts - starts[0]], pa.int32()), per_word.flatten())
 
     return lookup
 
@@ -105,7 +106,7 @@ def encode(
     split = words(F.coalesce(F.col(text), F.lit("")), specials)
     if ids is not None:
         lookup = _id_lookup(df.sparkSession, ids, specials)
-        return df.withColumn("_words", split).withColumn(out, lookup("_words")).drop("_words")
+        return df.withColumn(out, lookup(F.array_join(split, " ")))
     return _encode_by_join(df, vocab, split, out, list(keys), specials)
 
 
@@ -120,7 +121,7 @@ def encode_words(
     ids = collect_vocab(vocab, limit)
     if ids is not None:
         lookup = _id_lookup(df.sparkSession, ids, specials)
-        return df.select(F.col(word).alias("word"), lookup(F.array(F.col(word))).alias("ids"))
+        return df.select(F.col(word).alias("word"), lookup(F.col(word)).alias("ids"))
     return _encode_words_by_join(df.select(F.col(word).alias("word")), vocab, specials)
 
 

@@ -44,7 +44,7 @@ def alphabet(counts: DataFrame) -> DataFrame:
 def base_pieces(counts: DataFrame) -> DataFrame:
     """Pieces a trained vocabulary starts from: every character bare, and prefixed where it continues a word.
 
-    ``rank`` orders them: bare characters first, then prefixed ones, each by code point.
+    Their order is by ``continues`` and piece: bare characters first, then prefixed ones, each by code point.
     """
     bare = counts.select(F.explode(F.split("word", "")).alias("piece"))
     return (

@@ -546,14 +546,14 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vec"))
 
 
-def _embedded_documents(spark, sf_dir) -> DataFrame:
-    """Unit vectors of all ids of all documents, under a vocabulary as large as the vector table."""
+def _documents_with_vectors(spark, sf_dir):
+    """All documents under a vocabulary as large as the vector table, and the unit vectors."""
     unit = embedding.normalize_table(_vectors(spark, sf_dir))
     docs = documents(spark, sf_dir)
     vocab = vocabulary.build_vocab(
         vocabulary.word_counts(docs).select(F.col("word").alias("piece"), "n"), size=unit.count()
     )
-    return embedding.embed(encoding.encode_single(docs, vocab), unit)
+    return encoding.encode_single(docs, vocab).select("doc_id", "ids"), unit
 
 
 @query
@@ -566,14 +566,15 @@ def l2_normalize(spark, sf_dir):
 def embed_lookup(spark, sf_dir):
     """The vector of every position, as one checksum."""
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
-    return _embedded_documents(spark, sf_dir).select("doc_id", "pos", "id", F.round(total, 6).alias("vec_sum"))
+    placed = embedding.embed(*_documents_with_vectors(spark, sf_dir))
+    return placed.select("doc_id", "pos", "id", F.round(total, 6).alias("vec_sum"))
 
 
 @query
 def dot_to_anchor(spark, sf_dir):
     """Each document's second vector against all later ones."""
-    dots = embedding.dot_to_anchor(_embedded_documents(spark, sf_dir))
-    return dots.select("doc_id", "pos", "id", F.round("dot", 6).alias("dot"))
+    dots = embedding.dot_to_anchor(*_documents_with_vectors(spark, sf_dir))
+    return dots.withColumn("dot", F.round("dot", 6))
 
 
 @query

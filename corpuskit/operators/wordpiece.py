@@ -64,20 +64,20 @@ def _apply(packed: Column, merges: Sequence[tuple[str, str]]) -> Column:
 def _candidates(words: DataFrame, limit: int, min_count: int) -> list[Row]:
     """The best pairs with their count and the largest count of a triple around them."""
     pieces = words.select(unpacked_pieces(F.col("packed")).alias("p"), "n").where(F.size("p") > 1)
-    around = F.transform(
-        F.sequence(F.lit(0), F.size("p") - 2),
-        lambda i: F.struct(
-            F.get("p", i).alias("a"),
-            F.get("p", i + 1).alias("b"),
-            F.array(
-                F.struct(F.lit(1).alias("side"), F.get("p", i + 2).alias("c")),
-                F.struct(F.lit(0).alias("side"), F.when(i > 0, F.get("p", F.greatest(i - 1, F.lit(0)))).alias("c")),
-            ).alias("sides"),
-        ),
+    none = F.array(F.lit(None).cast("string"))
+    around = F.arrays_zip(
+        F.slice("p", 1, F.size("p") - 1).alias("a"),
+        F.slice("p", 2, F.size("p") - 1).alias("b"),
+        F.concat(none, F.slice("p", 1, F.size("p") - 2)).alias("before"),
+        F.concat(F.slice("p", 3, F.size("p") - 2), none).alias("after"),
+    )
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("after").alias("c")),
+        F.struct(F.lit(0).alias("side"), F.col("before").alias("c")),
     )
     triples = (
-        pieces.select(F.inline(around).alias("a", "b", "sides"), "n")
-        .select("a", "b", "n", F.inline("sides").alias("side", "c"))
+        pieces.select(F.inline(around).alias("a", "b", "before", "after"), "n")
+        .select("a", "b", "n", F.inline(sides).alias("side", "c"))
         .groupBy("a", "b", "side", "c")
         .agg(F.sum("n").alias("n"))
     )

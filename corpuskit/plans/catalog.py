@@ -18,10 +18,8 @@ from corpuskit.operators import (
     runlog,
     splitting,
     templates,
-    training,
     vocabulary,
     windows,
-    wordpiece,
 )
 from corpuskit.plans import flows
 from corpuskit.session import configure, scratch_path, scratch_root, write_stage

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import language, mixture, neighbours, packing, topk
+from corpuskit.llm import language, mixture, neighbours, overlap, packing, passages, topk, urls
 from corpuskit.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,57 @@ def op9_minimum_slack_packing(spark, sf_dir):
 def op10_cross_parsing_language(spark, sf_dir):
     """The language of every document, learned from three of four folds."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_url_model_ratio(spark, sf_dir):
+    """Every page's URL judged by rules and, beyond them, by the ratio of two character models."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_repeated_passages(spark, sf_dir):
+    """What is left of every document without passages of 50 words that an earlier one holds."""
+    return passages.without_repeated_passages(table(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLE["op4_repeated_passages"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT w.doc_id, i, unnest(range(0, 50)) AS k
+      FROM w JOIN f ON w.h = f.h AND w.doc_id > f.first)),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS m,
+             list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept
+      FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+@query
+def op7_prefix_jaccard_join(spark, sf_dir):
+    """Every document's component of near copies, by shingles of five words."""
+    return overlap.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_prefix_jaccard_join"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM t a JOIN t b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents
+      UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+"""

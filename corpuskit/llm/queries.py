@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import language, mixture, neighbours, overlap, packing, passages, topk, urls
+from corpuskit.llm import language, lines, mixture, neighbours, overlap, packing, passages, topk, urls
 from corpuskit.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,12 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
 """
+
+
+@query
+def op3_near_line_dedup(spark, sf_dir):
+    """How many lines of every document repeat an earlier line, or one an edit away, and what is left."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_near_line_dedup"] = lines.LINES_SQL

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import language, lines, mixture, neighbours, overlap, packing, passages, topk, urls
+from corpuskit.llm import language, licenses, lines, mixture, neighbours, overlap, packing, passages, topk, urls
 from corpuskit.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ def op3_near_line_dedup(spark, sf_dir):
 
 
 ORACLE["op3_near_line_dedup"] = lines.LINES_SQL
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    """Licence notices and texts in all documents, with coverage and spans."""
+    return licenses.scan(table(spark, sf_dir, "documents"))

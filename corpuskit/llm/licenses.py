@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -129,11 +130,14 @@ def candidates(places: np.ndarray, which: np.ndarray, index: Index, share: float
 def foremost(spans: dict[tuple[int, int], tuple[int, int]], index: Index) -> list:
     """Spans in order of place; of overlapping ones that with most matched words, then with most coverage, stays."""
     order = sorted(spans.items(), key=lambda s: (-s[1][0], -s[1][0] / len(index.words[s[0][0]]), s[0]))
-    kept = []
+    kept, starts, ends = {}, [], []
     for (number, first), (matched, last) in order:
-        if all(last < other or first > end for (_, other), (_, end) in kept):
-            kept.append(((number, first), (matched, last)))
-    return sorted(kept, key=lambda s: (s[0][1], s[0][0]))
+        at = bisect(starts, first)
+        if (not at or ends[at - 1] < first) and (at == len(starts) or starts[at] > last):
+            starts.insert(at, first)
+            ends.insert(at, last)
+            kept[first] = ((number, first), (matched, last))
+    return [kept[first] for first in starts]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates, band: int, share: float, coverage: float) -> Iterator[pa.RecordBatch]:

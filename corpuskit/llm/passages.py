@@ -20,7 +20,7 @@ HOT = 200
 _ANCHOR_BYTES = 80
 
 _NO_ID = -(1 << 63)
-_FOUND = "h1 bigint, h2 int, doc bigint, place bigint, hot boolean"
+_FOUND = "h1 bigint, h2 int, doc bigint, place bigint, more array<int>, hot boolean"
 _KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
 
@@ -71,7 +71,10 @@ def anchor_keys(batch: pa.RecordBatch, width: int) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], width: int, estimates: sketch.Estimates) -> Iterator[pa.RecordBatch]:
-    """Windows estimated to be in two documents: 96 bits of hash, document, place in the text."""
+    """Windows estimated to be in two documents: 96 bits of hash, document, places in the text.
+
+    A window that a text repeats is one row, with its further places as a list.
+    """
     for part in (x for batch in batches for x in slices(batch)):
         words = split(part.column(1))
         at = np.flatnonzero(window_mask(words.bounds, width, len(words.hashes)))
@@ -87,17 +90,29 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, estimates: sketch
             continue
         hot = estimates.is_hot(keys[changed])[run][at]
         owner = np.searchsorted(words.bounds, at, side="right") - 1
-        marks = part.column(2).to_numpy(zero_copy_only=False)
-        place = (at - words.bounds[owner]) + (marks[owner] << 32)
+        h1, place = windows(words.hashes, width)[at], at - words.bounds[owner]
+        order = np.lexsort((place, h1, owner))
+        first = np.ones(len(order), bool)
+        first[1:] = (h1[order][1:] != h1[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        runs = np.append(np.flatnonzero(first), len(order))
+        kept = order[runs[:-1]]
+        sizes = np.diff(runs) - 1
+        further = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+            pa.array(place[order[~first]].astype(np.int32)),
+            mask=pa.array(sizes == 0),
+        )
+        marks = part.column(2).to_numpy(zero_copy_only=False)[owner[kept]]
         yield pa.record_batch(
             [
-                pa.array(windows(words.hashes, width)[at].view(np.int64)),
-                pa.array(windows(words.hashes, width, 1)[at].astype(np.uint32).view(np.int32)),
-                pa.array(part.column(0).to_numpy(zero_copy_only=False)[owner]),
-                pa.array(place),
-                pa.array(hot),
+                pa.array(h1[kept].view(np.int64)),
+                pa.array(windows(words.hashes, width, 1)[at[kept]].astype(np.uint32).view(np.int32)),
+                pa.array(part.column(0).to_numpy(zero_copy_only=False)[owner[kept]]),
+                pa.array(place[kept] + (marks << 32)),
+                further,
+                pa.array(hot[kept]),
             ],
-            ["h1", "h2", "doc", "place", "hot"],
+            ["h1", "h2", "doc", "place", "more", "hot"],
         )
 
 
@@ -159,10 +174,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> Dat
     often = found.where("hot")
     least = often.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
     often = often.join(least.hint("merge"), ["h1", "h2"]).where("doc > least")
-    covered = usual.select("doc", "place").unionByName(often.select("doc", "place"))
+    covered = usual.select("doc", "place", "more").unionByName(often.select("doc", "place", "more"))
     mark = F.shiftright("place", 32)
+    start = (F.col("place") % (1 << 32)).cast("int")
     return covered.groupBy("doc", mark.alias("mark")).agg(
-        F.collect_list((F.col("place") % (1 << 32)).cast("int")).alias("starts")
+        F.concat(F.collect_list(start), F.flatten(F.collect_list("more"))).alias("starts")
     )
 
 

@@ -271,8 +271,10 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
     joined = components(both)
 
     named = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min(F.struct("doc", "mark")).alias("least"))
-    named = named.select("node", "root").join(least, "root").select(
+    named = write_stage(named, "rooted").df
+    # Written, so that both sides of the join are plain exchanges and a component of very many nodes can be split.
+    least = write_stage(named.groupBy("root").agg(F.min(F.struct("doc", "mark")).alias("least")), "least").df
+    named = named.select("node", "root").join(least.hint("merge"), "root").select(
         "node", F.col("least.doc").alias("component"), F.col("least.mark").alias("component_mark")
     )
     named = write_stage(named, "components").df

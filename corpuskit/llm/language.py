@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.words import slices
+
 # Bounds of the labelled sample the automata are built from.
 SAMPLE_ROWS = 400
 ROW_CHARS = 1000
@@ -27,35 +29,35 @@ def _alphabetic() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)], bool)
 
 
-class SuffixAutomaton:
-    """The smallest automaton of all substrings of a sequence of small integers, as rows of successor dicts."""
-
-    def __init__(self, symbols: Sequence[int]):
-        self.next: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for symbol in symbols:
-            state = len(self.next)
-            self.next.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            at = last
-            while at != -1 and symbol not in self.next[at]:
-                self.next[at][symbol] = state
-                at = link[at]
-            if at != -1:
-                target = self.next[at][symbol]
-                if length[target] == length[at] + 1:
-                    link[state] = target
-                else:
-                    twin = len(self.next)
-                    self.next.append(dict(self.next[target]))
-                    length.append(length[at] + 1)
-                    link.append(link[target])
-                    while at != -1 and self.next[at].get(symbol) == target:
-                        self.next[at][symbol] = twin
-                        at = link[at]
-                    link[target] = link[state] = twin
-            last = state
+def suffix_automaton(symbols: Sequence[int], table: np.ndarray, base: int) -> int:
+    """Fill ``table`` from row ``base`` on with the smallest automaton of all substrings; the number of its states.
+
+    Row ``base`` is the start; an entry is the row that a symbol leads to, or 0. At most two rows a symbol are used.
+    """
+    link, length, last, size = [-1], [0], 0, 1
+    for symbol in symbols:
+        state, size = size, size + 1
+        length.append(length[last] + 1)
+        link.append(0)
+        at = last
+        while at != -1 and not table[base + at, symbol]:
+            table[base + at, symbol] = base + state
+            at = link[at]
+        if at != -1:
+            target = int(table[base + at, symbol]) - base
+            if length[target] == length[at] + 1:
+                link[state] = target
+            else:
+                twin, size = size, size + 1
+                table[base + twin] = table[base + target]
+                length.append(length[at] + 1)
+                link.append(link[target])
+                while at != -1 and table[base + at, symbol] == base + target:
+                    table[base + at, symbol] = base + twin
+                    at = link[at]
+                link[target] = link[state] = twin
+        last = state
+    return size
 
 
 class CrossParser:
@@ -63,43 +65,38 @@ class CrossParser:
 
     def __init__(self, samples: Mapping[str, Sequence[str]], symbols: int = SYMBOLS):
         self.languages = sorted(samples)
-        self._letter = _alphabetic()
         texts = {lang: " ".join(samples[lang]).lower() for lang in self.languages}
         known = sorted({ch for text in texts.values() for ch in text if ch.isalpha()})
         # Letters of no sample match nothing; everything that is no letter is one kind of gap.
-        self._class = np.where(self._letter, _OTHER, _SPACE).astype(np.int64)
+        self._class = np.where(_alphabetic(), _OTHER, _SPACE).astype(np.int16)
         self._class[[ord(ch) for ch in known]] = np.arange(len(known)) + 2
         width = len(known) + 2
-        tables, roots, base, self._bits = [np.zeros((1, width), np.int64)], [], 1, []
-        for lang in self.languages:
-            learned = self._symbols(texts[lang])[0][:symbols]
-            automaton = SuffixAutomaton(learned.tolist())
-            table = np.zeros((len(automaton.next), width), np.int64)
-            for state, successors in enumerate(automaton.next):
-                for symbol, target in successors.items():
-                    table[state, symbol] = (target + base) * width
-            table[:, _OTHER] = 0
-            tables.append(table)
-            roots.append(table[0])
-            base += len(table)
-            self._bits.append(np.log2(max(len(learned), 2)))
-        self._table = np.concatenate(tables).reshape(-1).astype(np.int32)
-        self._roots = np.array(roots, np.int32).reshape(len(self.languages), width)
-        self._bits = np.array(self._bits)
-
-    def _symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of a text's characters with runs of gaps as one, and which characters are kept."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        classes = self._class[points]
+        learned = [self._symbols(texts[lang])[:symbols] for lang in self.languages]
+        # Row 0 is no state; untouched rows of the table take no memory.
+        table = np.zeros((1 + sum(2 * len(x) + 1 for x in learned), width), np.int32)
+        base, starts = 1, []
+        for one in learned:
+            starts.append(base)
+            base += suffix_automaton(one.tolist(), table, base)
+        table = table[:base]
+        table[:, _OTHER] = 0
+        table *= width
+        self._roots = table[starts].reshape(len(self.languages), width)
+        self._table = table.reshape(-1)
+        self._bits = np.array([np.log2(max(len(x), 2)) for x in learned])
+
+    def _symbols(self, text: str) -> np.ndarray:
+        """Classes of a text's characters with runs of gaps as one."""
+        classes = self._class[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
         keep = np.ones(len(classes), bool)
         keep[1:] = (classes[1:] != _SPACE) | (classes[:-1] != _SPACE)
-        return classes[keep], keep
+        return classes[keep]
 
     def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
         """Phrases of every block in every language; all blocks advance by one symbol at a time."""
         order = np.argsort([-len(b) for b in blocks], kind="stable")
         lengths = np.array([len(blocks[i]) for i in order], np.int64)
-        columns = np.zeros((int(lengths[0]) if len(order) else 0, len(order)), np.int32)
+        columns = np.zeros((int(lengths[0]) if len(order) else 0, len(order)), np.int16)
         for at, i in enumerate(order):
             columns[: len(blocks[i]), at] = blocks[i]
         counts = np.zeros((len(self.languages), len(order)), np.int64)
@@ -123,7 +120,7 @@ class CrossParser:
         for i, text in enumerate(texts):
             if not text or not self.languages:
                 continue
-            symbols, _ = self._symbols(text.lower())
+            symbols = self._symbols(text.lower())
             read[i] = bool((symbols != _SPACE).any())
             if read[i]:
                 sizes[i] = len(symbols)
@@ -194,7 +191,11 @@ def predicted(samples: tuple, text: Column) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def parse(texts: pa.Array) -> pa.Array:
-        langs, scores = _parser(samples).predict(texts.to_pylist())
+        langs, scores = [], []
+        for part in slices(pa.record_batch([texts], ["text"])):
+            found = _parser(samples).predict(part.column(0).to_pylist())
+            langs += found[0]
+            scores += found[1]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
     return parse(text)

@@ -42,9 +42,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS):
-        self._slow = Tokenizer.from_file(vocabulary)
-        self._slow.encode_special_tokens = True
-        self._fast = None
+        self._vocabulary, self._slow, self._fast = vocabulary, None, None
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
@@ -55,6 +53,9 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self._fast is not None and _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
             return np.array(self._fast.encode_ordinary(text), "<u4")
+        if self._slow is None:
+            self._slow = Tokenizer.from_file(self._vocabulary)
+            self._slow.encode_special_tokens = True
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 

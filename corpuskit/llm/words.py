@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 # Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,11 +134,10 @@ def window_mask(bounds: np.ndarray, width: int, total: int) -> np.ndarray:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold at most ``limit`` bytes together, or one text."""
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = np.nan_to_num(texts.is_valid().to_numpy(zero_copy_only=False).astype(float))
     lengths = raw_bytes(texts)[1]
     begin = 0
-    while begin < len(sizes):
+    while begin < len(texts):
         end = int(np.searchsorted(lengths, lengths[begin] + limit, side="right")) - 1
-        end = min(max(end, begin + 1), len(sizes))
+        end = min(max(end, begin + 1), len(texts))
         yield batch.slice(begin, end - begin)
         begin = end

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from corpuskit.llm.license_templates import TEMPLATES
 from corpuskit.llm.words import slices, split, window_mask, windows
 
-# Words of a fingerprint, and consecutive fingerprints of which winnowing keeps the least.
-GRAM, WINDOW = 3, 3
+# Words of a fingerprint, and consecutive fingerprints of which winnowing keeps the least; templates of fewer
+# fingerprints than the third number keep them all.
+GRAM, WINDOW, SHORT = 3, 3, 20
 # Places off the diagonal that an alignment may wander.
 BAND = 12
 # Share of a template's fingerprints that makes a candidate, and of its words that makes a match.
@@ -34,6 +35,7 @@ _FOUND = (
 def winnowed(hashes: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
     """``(fingerprint, place)``: the least gram hash, the last of equals, of every ``window`` consecutive ones."""
     grams = windows(hashes, min(gram, len(hashes)))
+    window = window if len(grams) >= SHORT else 1
     kept = {}
     for begin in range(max(1, len(grams) - window + 1)):
         part = grams[begin : begin + window]
@@ -108,22 +110,32 @@ def align(words: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     return matched, first, last
 
 
-def candidates(places: np.ndarray, which: np.ndarray, index: Index, share: float, band: int) -> list[tuple[int, int]]:
-    """``(template, shift)`` of runs of hits near one diagonal that hold enough of the template's fingerprints."""
+def candidates(
+    places: np.ndarray, which: np.ndarray, index: Index, share: float, band: int
+) -> list[tuple[int, int, int]]:
+    """``(template, shift, room)`` of runs of hits near one diagonal that hold enough of the template's fingerprints.
+
+    A run ends where a place of the template comes again, or the diagonal leaves the band. ``room`` is the band, or
+    half the way to the next run of the same template, so that occurrences side by side are told apart.
+    """
     diagonals = defaultdict(list)
     for place, key in zip(places.tolist(), which.tolist()):
         for number, at in index.postings[key]:
             diagonals[number].append((place - at, at))
     found = []
     for number, hits in diagonals.items():
-        hits.sort()
-        begin = 0
-        for end in range(1, len(hits) + 1):
-            if end == len(hits) or hits[end][0] - hits[begin][0] > band:
-                run = hits[begin:end]
-                if len({at for _, at in run}) >= max(1.0, share * index.sizes[number]):
-                    found.append((number, run[len(run) // 2][0]))
-                begin = end
+        runs = [[]]
+        seen = set()
+        for diagonal, at in sorted(hits):
+            if runs[-1] and (at in seen or diagonal - runs[-1][0] > band):
+                runs.append([])
+                seen = set()
+            runs[-1].append(diagonal)
+            seen.add(at)
+        shifts = [run[len(run) // 2] for run in runs if len(run) >= max(1.0, share * index.sizes[number])]
+        for i, shift in enumerate(shifts):
+            near = [abs(shift - other) // 2 for other in shifts[max(0, i - 1) : i + 2] if other != shift]
+            found.append((number, shift, min([band, *near])))
     return found
 
 
@@ -154,12 +166,11 @@ def _scan(batches: Iterator[pa.RecordBatch], templates, band: int, share: float,
             lo, hi = int(words.bounds[doc]), int(words.bounds[doc + 1])
             mine = owner == doc if len(owner) < 1000 else slice(*np.searchsorted(owner, [doc, doc + 1]))
             spans = {}
-            for number, shift in candidates(at[mine] - lo, which[mine], index, share, band):
+            for number, shift, room in candidates(at[mine] - lo, which[mine], index, share, band):
                 template = index.words[number]
-                # Places are counted from the document's first word, so only the near part of it is looked at.
-                near = max(0, shift - band)
-                here = words.hashes[lo + near : min(hi, lo + shift + len(template) + band + 1)]
-                matched, first, last = align(here, template, shift - near, band)
+                near = max(0, shift - room)
+                here = words.hashes[lo + near : min(hi, lo + shift + len(template) + room + 1)]
+                matched, first, last = align(here, template, shift - near, room)
                 if matched >= coverage * len(template):
                     key = (number, first + near)
                     spans[key] = max(spans.get(key, (0, 0)), (matched, last + near))
@@ -201,7 +212,8 @@ def scan(
     ``(name, license, text)``; where hits near one diagonal hold the ``share`` of a template's fingerprints, template
     and document are aligned within ``band`` of it, and ``coverage`` of the template's words must match. Of matches
     that overlap the one with most matched words is reported, so a notice that is part of a longer one is not reported
-    again. The templates are a short list given by the caller and go to every task.
+    again. A match without five words in a row as in the template, three in a template of some twenty words, has no
+    fingerprint to be found by. The templates are a short list given by the caller and go to every task.
 
     Null, empty and foreign texts give no rows; a null id stays null; rows that repeat an id are scanned each; other
     columns are ignored. Documents stay in their partitions: nothing is shuffled.

@@ -132,7 +132,9 @@ def _kept(batches: Iterator[pa.RecordBatch], width: int, texts: bool) -> Iterato
         # A kept word with the byte after it, which becomes the space before the next one, but for a text's last.
         picked, last = np.flatnonzero(keep), np.zeros(len(keep), bool)
         owner = np.searchsorted(bounds, picked, side="right") - 1
-        last[picked[np.flatnonzero(np.append(owner[1:] != owner[:-1], True))]] = True if len(picked) else False
+        closing = np.ones(len(picked), bool)
+        closing[:-1] = owner[1:] != owner[:-1]
+        last[picked[closing]] = True
         ends = words.ends + ~last
         sizes = (ends - words.starts)[picked]
         within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -18,7 +18,7 @@ PART_CELLS = 1 << 16
 # Cells per row; the merged bits that are broadcast take a quarter byte per cell and row, 64 MB at most.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
 # Keys a task gathers before it hands on a partial sketch.
-_GATHERED = 1 << 21
+_GATHERED = 1 << 19
 _PARTIAL = "part int, cells binary, counts binary"
 _MERGED = "part int, repeated binary, hot binary"
 

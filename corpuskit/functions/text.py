@@ -98,7 +98,13 @@ def pretokenize(text: Column) -> Column:
 
 
 def mark_specials(text: Column, specials=SPECIALS) -> Column:
-    """Replace special pieces written in the text by their stand-ins, before normalisation."""
+    """Replace special pieces written in the text by their stand-ins, before normalisation.
+
+    Characters that the stand-ins are made of become U+FFFD first, so a text cannot smuggle in a special piece.
+    """
+    reserved = "".join(chr(c) for c in range(0xFDD0, 0xFDE0))
+    raw = ~_is_ascii(text) & text.rlike(f"[{reserved[0]}-{reserved[-1]}]")
+    text = F.when(raw, F.translate(text, reserved, "\ufffd" * len(reserved))).otherwise(text)
     for index, piece in enumerate(specials):
         text = F.replace(text, F.lit(piece), F.lit(special_mark(index)))
     return text
@@ -110,9 +116,15 @@ def words(text: Column, specials=None) -> Column:
     return _once(normal, pretokenize)
 
 
+def _key_part(key: Column) -> Column:
+    """A key as text in which neither the separator nor null can be mistaken for a value."""
+    shown = F.replace(F.replace(key.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    return F.coalesce(shown, F.lit("\\N"))
+
+
 def permutation_key(seed, *keys: Column) -> Column:
     """A hash order that depends on seed and key only, never on partitioning or retries."""
-    parts = [F.lit(str(seed))] + [key.cast("string") for key in keys]
+    parts = [F.lit(str(seed))] + [_key_part(key) for key in keys]
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 

@@ -16,7 +16,6 @@ from corpuskit.session import write_stage
 
 # Anchors handled per pass: the broadcast matrix has this many rows at most.
 ANCHOR_BLOCK = 2048
-_SCORE_DIGITS = 6
 
 
 def normalize_table(table: DataFrame, vec: str = "vec") -> DataFrame:
@@ -27,7 +26,8 @@ def embed(
     df: DataFrame, table: DataFrame, ids: str = "ids", keys: Sequence[str] = ("doc_id",), id: str = "id"
 ) -> DataFrame:
     """Rows ``(pos, id, vec)`` for every id of every row; hot ids meet their vectors by broadcast."""
-    placed = df.select(*keys, F.posexplode(ids).alias("pos", id))
+    rows = write_stage(df.select(*keys, F.col(ids).alias("ids")), "ids").df  # read twice: hot ids, join
+    placed = rows.select(*keys, F.posexplode("ids").alias("pos", id))
     return lookup_join(placed, table, [id])
 
 
@@ -45,6 +45,7 @@ def dot_to_anchor(
     A dot product depends on the two ids only, so it is computed once per distinct pair of ids; positions are
     shuffled as ids and never carry vectors.
     """
+    df = write_stage(df.select(*keys, ids), "ids").df  # read twice: pairs, join
     later = F.slice(ids, anchor_pos + 2, F.greatest(F.size(ids) - anchor_pos - 1, F.lit(0)))
     placed = df.select(
         *keys, F.get(ids, F.lit(anchor_pos)).alias("_anchor"), F.posexplode(later).alias("pos", id)
@@ -91,14 +92,17 @@ def _block_scan(shared, k: int):
             rows = flat.reshape(len(ids), -1)
             for start in range(0, len(ids), 4096):
                 part = ids[start : start + 4096]
-                scores = np.round(matrix @ rows[start : start + 4096].T, _SCORE_DIGITS)
+                scores = matrix @ rows[start : start + 4096].T
                 scores[anchor_ids[:, None] == part[None, :]] = -np.inf
                 if len(part) > k:
                     floor = np.partition(scores, len(part) - k, axis=1)[:, len(part) - k]
+                    # A matrix product may give equal rows scores that differ in the last digits.
+                    floor = floor - 1e-9 * np.maximum(1, np.abs(floor))
                 else:
                     floor = np.full(len(anchor_ids), -np.inf)
                 at, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-                found = (anchor_ids[at], part[col], scores[at, col])
+                exact = np.einsum("ij,ij->i", matrix[at], rows[start : start + 4096][col])
+                found = (anchor_ids[at], part[col], exact)
                 best = _best(*(np.concatenate(pair) for pair in zip(best, found)), k)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["anchor", "id", "score"])
 
@@ -116,11 +120,16 @@ def top_neighbors(
     """The ``k`` rows with the largest dot product for every anchor, ties to the smaller id, itself left out.
 
     Exact. Anchors go out in broadcast blocks of at most ``block`` vectors. A task multiplies its rows with the
-    block and emits ``k`` rows per anchor, so pairs are never materialised. Scores are rounded to 6 digits.
+    block and emits ``k`` rows per anchor, so pairs are never materialised; a block's rows are written before the
+    next block goes out, so one block is held at a time. Null vectors and vectors with null or NaN, as zero vectors
+    are after scaling, are neither anchors nor neighbours. Jobs run while the result is planned.
     """
     spark = table.sparkSession
-    rows = table.select(F.col(id).cast("bigint").alias("id"), vectors.doubles(F.col(vec)).alias("vec"))
-    chosen = anchors.select(F.col(id).cast("bigint").alias("id"), vectors.doubles(F.col(vec)).alias("vec"))
+    whole = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    rows, chosen = (
+        df.select(F.col(id).cast("bigint").alias("id"), vectors.doubles(F.col(vec)).alias("vec")).where(whole)
+        for df in (table, anchors)
+    )
     first = chosen.limit(block + 1).collect()
     if len(first) <= block:
         blocks = [first] if first else []
@@ -135,7 +144,9 @@ def top_neighbors(
     for members in blocks:
         matrix = np.array([m["vec"] for m in members], dtype=np.float64)
         shared = spark.sparkContext.broadcast((np.array([m["id"] for m in members], dtype=np.int64), matrix))
-        found = found.unionByName(rows.mapInArrow(_block_scan(shared, k), found.schema))
+        part = rows.mapInArrow(_block_scan(shared, k), found.schema)
+        found = found.unionByName(write_stage(part, "neighbours").df)
+        shared.unpersist()
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

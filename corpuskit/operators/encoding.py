@@ -86,7 +86,8 @@ def _id_lookup(spark, ids: dict[str, int], specials: Sequence[str]):
         ends = np.concatenate(([0], per_word.value_lengths().to_numpy().cumsum()))
         return pa.ListArray.from_arrays(pa.array(ends[starts - starts[0]], pa.int32()), per_word.flatten())
 
-    return lookup
+    # Costly: a plan must not evaluate it again in a filter that it derives, as on the size of the result.
+    return lookup.asNondeterministic()
 
 
 def encode(
@@ -181,8 +182,9 @@ def _encode_by_join(df, vocab, split: Column, out: str, keys: list[str], special
     marks = spark.createDataFrame(
         [(special_mark(i), piece) for i, piece in enumerate(specials)], "word string, piece string"
     )
-    mark_ids = marks.join(vocab, "piece").select("word", F.array("id").alias("ids"))
-    plain = distinct.join(F.broadcast(marks), "word", "left_anti")
+    mark_ids = F.broadcast(marks).join(vocab, "piece").select("word", F.array("id").alias("ids"))
+    # A stand-in whose special piece the vocabulary lacks is an unknown word like any other.
+    plain = distinct.join(F.broadcast(mark_ids.select("word")), "word", "left_anti")
     table = _encode_words_by_join(plain, vocab, specials).unionByName(mark_ids)
     joined = lookup_join(placed, table, ["word"])
     # The words of one row have to meet again, since the row is the result; nothing larger is collected.
@@ -204,6 +206,8 @@ def encode_single(
     Special pieces have their place in the list as id. The older layout is
     ``specials=LEGACY_SPECIALS, end="[SEP]"``.
     """
+    if pad_id is not None and max_length is None:
+        raise ValueError("padding needs max_length")
     specials = options.get("specials", SPECIALS)
     out = options.get("out", "ids")
     ids = F.col(out)
@@ -258,7 +262,7 @@ def tokens(
         lookup = _piece_lookup(df.sparkSession, {i: piece for piece, i in known.items()}, unknown)
         return df.withColumn(out, lookup(F.col(ids)))
     placed = df.select(*keys, F.posexplode(ids).alias("_pos", "id"))
-    joined = lookup_join(placed, vocab.select("id", "piece"), ["id"])
+    joined = lookup_join(placed, usable_pieces(vocab), ["id"])
     entry = F.struct("_pos", F.coalesce("piece", F.lit(unknown)).alias("piece"))
     regrouped = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_parts"))
     pieces = F.coalesce(F.col("_parts")["piece"], F.array().cast("array<string>"))

@@ -26,14 +26,15 @@ def new_best(df: DataFrame, run="run", step="step", loss="loss", width: int = BL
     before = (
         blocked.groupBy(run, "_block")
         .agg(F.min(loss).alias("_min"))
-        .select(run, "_block", F.min("_min").over(across).alias("_before"))
+        .select(F.col(run).alias("_run"), F.col("_block").alias("_at"), F.min("_min").over(across).alias("_before"))
     )
+    same = F.col(run).eqNullSafe(F.col("_run")) & F.col("_block").eqNullSafe(F.col("_at"))
     best = F.least(F.min(loss).over(inside), F.col("_before"))
     return (
-        blocked.join(before, [run, "_block"])
+        blocked.join(before, same)
         .withColumn("prev_best", best)
         .withColumn("is_best", F.when(F.col("prev_best") > F.col(loss), 1).otherwise(0))
-        .drop("_block", "_before")
+        .drop("_block", "_before", "_run", "_at")
     )
 
 
@@ -72,7 +73,7 @@ def every(df: DataFrame, n: int, step="step", shift: int = 0) -> DataFrame:
 
 
 def trial_summary(logs: DataFrame, configs: DataFrame | None = None, run="run", step="step", loss="loss") -> DataFrame:
-    """Least, last and mean loss per run, joined to its configuration and ranked by the least loss."""
+    """Least, last and mean loss per run, ranked by the least loss, beside its configuration where there is one."""
     summary = logs.groupBy(run).agg(
         F.count("*").alias("n_steps"),
         F.min(loss).alias("min_loss"),
@@ -80,5 +81,5 @@ def trial_summary(logs: DataFrame, configs: DataFrame | None = None, run="run",
         F.avg(loss).alias("mean_loss"),
     )
     if configs is not None:
-        summary = summary.join(configs, run)
+        summary = summary.join(configs, run, "left")
     return global_rank(summary, [F.asc("min_loss"), F.asc(run)])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import SPECIALS, words
-from corpuskit.operators.ranking import global_rank
 
 # Fixed value: vocabulary size of the tokenizer, special pieces included.
 VOCAB_SIZE = 30522 * 5
@@ -74,8 +74,10 @@ def special_rows(spark: SparkSession, specials: Sequence[str] = SPECIALS) -> Dat
 
 def build_vocab(pieces: DataFrame, size: int = VOCAB_SIZE, specials: Sequence[str] = SPECIALS) -> DataFrame:
     """A vocabulary from counted pieces ``(piece, n)``: specials first, then by count and piece up to ``size`` ids."""
-    ranked = global_rank(pieces.select("piece", "n"), [F.desc("n"), F.asc("piece")])
-    kept = ranked.where(F.col("rank") <= size - len(specials)).select(
+    order = [F.desc("n"), F.asc("piece")]
+    # Only the pieces kept are sorted through: every task hands on that many at most.
+    top = pieces.select("piece", "n").orderBy(*order).limit(max(0, size - len(specials)))
+    kept = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(
         (F.col("rank") + F.lit(len(specials) - 1)).cast("int").alias("id"), "piece", F.lit("piece").alias("kind")
     )
     return special_rows(pieces.sparkSession, specials).unionByName(kept)
@@ -131,3 +133,48 @@ def save_vocab(vocab: DataFrame, path: str) -> None:
 
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     return check_vocab(spark.read.schema(VOCAB_SCHEMA).parquet(path))
+
+
+def read_tokenizer_json(spark: SparkSession, path: str) -> DataFrame:
+    """The vocabulary of a tokenizer file: pieces and ids of its model, special where the file lists them as added."""
+    file = spark.read.text(path, wholetext=True)
+    added = "array<struct<id: int, content: string, special: boolean>>"
+    parts = file.select(
+        F.from_json(F.get_json_object("value", "$.model.vocab"), "map<string, int>").alias("pieces"),
+        F.from_json(F.get_json_object("value", "$.added_tokens"), added).alias("added"),
+    )
+    special = F.transform(F.filter("added", lambda x: x["special"]), lambda x: x["content"])
+    listed = parts.select(F.explode("pieces").alias("piece", "id"), F.coalesce(special, F.array()).alias("special"))
+    kind = F.when(F.array_contains("special", F.col("piece")), "special").otherwise("piece")
+    return check_vocab(listed.select("id", "piece", kind.alias("kind")))
+
+
+def tokenizer_json(vocab: DataFrame) -> str:
+    """The text of a tokenizer file with this vocabulary; one row, as a vocabulary is bounded."""
+    entry = F.struct("id", "piece", "kind")
+    pieces = json.loads(check_vocab(vocab).agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("rows")).first()["rows"])
+    specials = [p for p in pieces if p["kind"] == "special"]
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    return json.dumps(
+        {
+            "version": "1.0",
+            "truncation": None,
+            "padding": None,
+            "added_tokens": [{"id": p["id"], "content": p["piece"], **flags} for p in specials],
+            "normalizer": {
+                "type": "Sequence",
+                "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}, {"type": "StripAccents"}],
+            },
+            "pre_tokenizer": {"type": "Whitespace"},
+            "post_processor": None,
+            "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
+            "model": {
+                "type": "WordPiece",
+                "unk_token": pieces[0]["piece"],
+                "continuing_subword_prefix": "##",
+                "max_input_chars_per_word": 100,
+                "vocab": {p["piece"]: p["id"] for p in pieces},
+            },
+        },
+        ensure_ascii=False,
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ def row_pairs(df: DataFrame, order: Sequence[str], ids: str = "ids", batch: int
     ranked = global_rank(df.select(*order), [F.asc(c) for c in order])
     batch_no = F.floor((F.col("rank") - 1) / batch)
     following = F.lead(ids).over(Window.partitionBy("batch_no").orderBy("rank"))
+    ranked = ranked.select("rank", *[F.col(c).alias(f"_rank_{c}") for c in order])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_rank_{c}")) for c in order])
     return (
         df.select(*order, ids)
-        .join(ranked, list(order))
+        .join(ranked, same)
         .withColumn("batch_no", batch_no)
         .withColumn("next_ids", following)
         .where(F.col("next_ids").isNotNull())

@@ -60,10 +60,11 @@ def piece_vocab(counts: DataFrame) -> DataFrame:
     return vocabulary.build_vocab(vocabulary.fragment_counts(counts), PIECES + len(tx.SPECIALS))
 
 
-def encoded(spark, sf_dir) -> DataFrame:
+def encoded(spark, sf_dir, vocab: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Documents as ids of the word vocabulary, with template."""
-    docs = documents(spark, sf_dir)
-    return encoding.encode_single(docs, word_vocab(spark, sf_dir)).select("doc_id", "ids")
+    vocab = word_vocab(spark, sf_dir) if vocab is None else vocab
+    docs = documents(spark, sf_dir) if docs is None else docs
+    return encoding.encode_single(docs, vocab).select("doc_id", "ids")
 
 
 def with_digest(df: DataFrame, *keys, ids: str = "ids") -> DataFrame:
@@ -104,15 +105,19 @@ def read_registered_source(spark, sf_dir):
 
 @query
 def materialized_split(spark, sf_dir):
-    """Two cached parts of one build, counted."""
+    """Two cached parts of one build, built once and read again, counted."""
+    path = f"{sf_dir}/documents.parquet"
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
 
     def build():
         return splitting.parts(splitting.split_hash(docs, ["doc_id"], 0.1, SEED))
 
-    train, test = cache.materialize(
-        spark, f"{scratch_root(spark)}/cache", "split", build, {"test_size": 0.1, "seed": SEED}, {"docs": docs}
-    )
+    def again():
+        raise AssertionError("the second call finds what the first has written")
+
+    key = {"test_size": 0.1, "seed": SEED}, {"docs": cache.file_fingerprint(spark, path)}
+    cache.materialize(spark, f"{scratch_root(spark)}/cache", "split", build, *key)
+    train, test = cache.materialize(spark, f"{scratch_root(spark)}/cache", "split", again, *key)
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     return both.groupBy("split", "source").agg(F.count("*").alias("n"))
 
@@ -340,7 +345,8 @@ def add_template_pair(spark, sf_dir):
 @query
 def token_strings(spark, sf_dir):
     """Piece strings of the encoded documents, counted."""
-    shown = encoding.tokens(encoded(spark, sf_dir), word_vocab(spark, sf_dir))
+    vocab = write_stage(word_vocab(spark, sf_dir), "vocab").df
+    shown = encoding.tokens(encoded(spark, sf_dir, vocab), vocab)
     return shown.select(
         "doc_id", F.size("tokens").alias("n_ids"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5")
     )
@@ -356,8 +362,8 @@ def truncate_pad(spark, sf_dir):
 
 @query
 def decode_roundtrip(spark, sf_dir):
-    ids = encoded(spark, sf_dir)
-    return text_digest(encoding.decode(ids, word_vocab(spark, sf_dir)), "doc_id", text="decoded")
+    vocab = write_stage(word_vocab(spark, sf_dir), "vocab").df
+    return text_digest(encoding.decode(encoded(spark, sf_dir, vocab), vocab), "doc_id", text="decoded")
 
 
 # Windows
@@ -467,10 +473,8 @@ def bigram_counts(spark, sf_dir):
 
 @query
 def pair_weights(spark, sf_dir):
-    """Pair counts with and without padding to 1,024, over sequences cut to that length."""
-    docs = documents(spark, sf_dir)
-    ids = encoding.encode_single(docs, word_vocab(spark, sf_dir), max_length=1024)
-    return ngrams.pair_weights(ids, 1024, 4)
+    """Pair counts with and without padding of shorter sequences to 1,024."""
+    return ngrams.pair_weights(encoded(spark, sf_dir), 1024, 4)
 
 
 @query
@@ -493,9 +497,11 @@ def next_token_topk(spark, sf_dir):
 
 
 def _held_out(spark, sf_dir):
-    labelled = splitting.split_hash(encoded(spark, sf_dir), ["doc_id"], 0.1, SEED)
-    train, test = splitting.parts(labelled)
-    return write_stage(ngrams.bigram_counts(train), "bigrams").df, test
+    # Split before encoding, so that every text is encoded on its own side only.
+    train, test = splitting.parts(splitting.split_hash(documents(spark, sf_dir), ["doc_id"], 0.1, SEED))
+    vocab = write_stage(word_vocab(spark, sf_dir), "vocab").df
+    bigrams = write_stage(ngrams.bigram_counts(encoded(spark, sf_dir, vocab, train)), "bigrams").df
+    return bigrams, encoded(spark, sf_dir, vocab, test)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -586,7 +592,7 @@ def dot_to_row(spark, sf_dir):
 def top_neighbors(spark, sf_dir):
     """Five nearest rows of every row by cosine."""
     unit = embedding.normalize_table(_vectors(spark, sf_dir))
-    return embedding.top_neighbors(unit, unit, 5)
+    return embedding.top_neighbors(unit, unit, 5).withColumn("score", F.round("score", 6))
 
 
 @query

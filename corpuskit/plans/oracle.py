@@ -212,7 +212,7 @@ def _fit(examples: str, epochs: int, dim: int, decay: float, normal: bool, bias:
 
 
 _FIT_IDS = f"""{_CONTENT.replace(f"id < {VOCAB}", f"id < {FITTED}")},
-cut AS (SELECT [1::int] || ids[1:1022] || [3::int] AS ids FROM coded)"""
+cut AS (SELECT [1::int] || ids || [3::int] AS ids FROM coded)"""
 
 
 def _text_md5(rows: str, keys: str, text: str = "text") -> str:
@@ -355,10 +355,10 @@ ORACLE: dict[str, str] = {
         "source, doc_id, copy_no::int AS copy_no",
     ),
     "bigram_counts": f"WITH RECURSIVE {_MODEL} SELECT a, b, n FROM bi",
-    "pair_weights": f"""WITH RECURSIVE {_CONTENT}, cut AS (SELECT [1::int] || ids[1:1022] || [3::int] AS ids FROM coded),
-        full_ids AS (SELECT list_resize(ids, 1024, 4::int) AS ids, len(ids) AS len FROM cut),
+    "pair_weights": f"""WITH RECURSIVE {_CONTENT}, cut AS (SELECT [1::int] || ids || [3::int] AS ids FROM coded),
+        full_ids AS (SELECT list_resize(ids, greatest(len(ids), 1024), 4::int) AS ids, len(ids) AS len FROM cut),
         p AS (SELECT ids[i] AS a, ids[i + 1] AS b, (i < len)::int AS inside
-              FROM (SELECT ids, len, unnest(range(1, 1024)) AS i FROM full_ids))
+              FROM (SELECT ids, len, unnest(range(1, len(ids))) AS i FROM full_ids))
         SELECT a, b, sum(inside)::bigint AS n, count(*) AS n_padded FROM p GROUP BY a, b""",
     "context_counts": f"""WITH RECURSIVE {_ENCODED}, c AS (SELECT list_sort([ids[i], ids[i + 2]]) AS ctx, ids[i + 1] AS target
           FROM (SELECT ids, unnest(range(2, len(ids) - 2)) AS i FROM enc))
@@ -392,8 +392,8 @@ ORACLE: dict[str, str] = {
     "dot_to_row": f"""WITH RECURSIVE {_UNIT} SELECT u.id, round(list_dot_product(u.vec, a.vec), 6) AS dot
         FROM unit u JOIN unit a ON a.id = 1""",
     "top_neighbors": f"""WITH RECURSIVE {_UNIT}, s AS (SELECT a.id::bigint AS anchor, u.id::bigint AS id,
-          round(list_dot_product(u.vec, a.vec), 6) AS score FROM unit a JOIN unit u ON a.id <> u.id)
-        SELECT anchor, id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id)::int AS rank
+          list_dot_product(u.vec, a.vec) AS score FROM unit a JOIN unit u ON a.id <> u.id)
+        SELECT anchor, id, round(score, 6) AS score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id)::int AS rank
         FROM s QUALIFY rank <= 5""",
     "embedding_saved": """SELECT vec_id::int AS id,
         round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS norm FROM embeddings""",
@@ -408,5 +408,5 @@ ORACLE: dict[str, str] = {
     "trial_summary": f"""WITH RECURSIVE {_LOG}, s AS (SELECT run, count(*) AS n_steps, min(loss) AS min_loss,
           arg_max(loss, step) AS last_loss, round(avg(loss), 6) AS mean_loss FROM log GROUP BY run)
         SELECT run, n_steps, min_loss, last_loss, mean_loss, c_mktsegment,
-               row_number() OVER (ORDER BY min_loss, run) AS rank FROM s JOIN customer ON c_custkey = run""",
+               row_number() OVER (ORDER BY min_loss, run) AS rank FROM s LEFT JOIN customer ON c_custkey = run""",
 }

@@ -12,13 +12,25 @@ from pyspark.sql import functions as F
 
 def fingerprint(df: DataFrame) -> str:
     """A digest of schema and contents that ignores row order and file layout; one scan, one row out."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns])
+    # The hash passes over nulls, so each value goes with a flag.
+    row = F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))])
     found = df.agg(
         F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("total"), F.bit_xor(row).alias("parity")
     ).first()
     return f"{df.schema.simpleString()}|{found.n}|{found.total}|{found.parity}"
 
 
+def file_fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files under ``path``; reads no contents."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    digest = []
+    while found.hasNext():
+        file = found.next()
+        digest.append(f"{file.getPath()}|{file.getLen()}|{file.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(digest)).encode()).hexdigest()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -34,7 +46,8 @@ def materialize(
 ) -> DataFrame | tuple[DataFrame, ...]:
     """Read the result of an earlier equal call, or build and write it.
 
-    ``inputs`` are frames, whose contents enter the key, or strings that already identify a version. The number
+    ``inputs`` are strings that identify a version, as :func:`file_fingerprint` gives them, or frames, whose contents
+    enter the key at the cost of a scan. The number
     of parts is written last, so an interrupted run never counts as a hit; its parts are written anew.
     """
     marks = {k: v if isinstance(v, str) else fingerprint(v) for k, v in (inputs or {}).items()}

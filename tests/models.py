@@ -10,10 +10,14 @@ def folded(text):
 
 
 def segments(ids, chunk, seam):
-    if len(ids) < chunk:
-        return [ids]
-    starts = list(range(0, len(ids), chunk - seam))
-    return [ids[s : s + chunk] for s in starts[:-1]] + [ids[len(ids) - chunk :]]
+    """Window ``k`` of ``n = ceil(length / (chunk - seam))``: steps of ``chunk - seam``, but the last ends with the list."""
+    length = len(ids)
+    n = max(1, -(-length // (chunk - seam))) if length >= chunk else 1
+
+    def start(k):
+        return max(0, length - chunk) if k == n - 1 else k * (chunk - seam)
+
+    return [[ids[i] for i in range(start(k), min(start(k) + chunk, length))] for k in range(n)]
 
 
 def adjacent(ids):

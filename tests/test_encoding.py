@@ -148,3 +148,23 @@ def test_hot_key_is_spread_over_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_both_ways_agree_on_odd_vocabularies_and_texts(spark):
+    pieces = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]", "a", "b", "c" * 120]
+    old = spark.createDataFrame([(i, p, "piece") for i, p in enumerate(pieces)], vocabulary.VOCAB_SCHEMA)
+    texts = ["a b [EOS] a", "", None, "a \ufdd3 b\ufdd0", "[SEP] a", "c" * 120]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    both = [
+        {r.doc_id: r.ids for r in encoding.encode(df, old, limit=limit).collect()}
+        for limit in (encoding.MAX_BROADCAST_PIECES, 3)
+    ]
+    assert both[0] == both[1] and both[0][0] == [5, 6, 0, 5] and both[0][3] == [5, 0, 6, 0] and both[0][5] == [0]
+    coded = spark.createDataFrame([(1, [5, 7, 99])], "doc_id int, ids array<int>")
+    shown = [encoding.tokens(coded, old, limit=limit).first().tokens for limit in (encoding.MAX_BROADCAST_PIECES, 3)]
+    assert shown[0] == shown[1] == ["a", "[UNK]", "[UNK]"]
+
+
+def test_padding_needs_a_length(rows, vocab):
+    with pytest.raises(ValueError):
+        encoding.encode_single(rows, vocab, pad_id=3)

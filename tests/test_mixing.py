@@ -78,3 +78,11 @@ def test_global_rank_in_any_layout(spark):
     for parts in (1, 7):
         ranked = ranking.global_rank(df.repartition(parts), [F.asc("b"), F.desc("a")]).collect()
         assert {(r.a, r.b): r["rank"] for r in ranked} == want
+
+
+def test_keys_with_separators_and_nulls_differ(spark):
+    from corpuskit.functions.text import permutation_key
+
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "x"), ("x", None), ("\\N", "x"), ("a\\", "b:c")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(permutation_key(1, F.col("a"), F.col("b")).alias("h")).distinct().count() == len(rows)

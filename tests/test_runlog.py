@@ -63,3 +63,12 @@ def test_logs_and_configs_from_files(spark, tmp_path):
     assert sorted((r.run.split("/")[-2], r.step, r.loss) for r in rows) == [("t0", 0, 3.5), ("t0", 1, 2.0), ("t1", 0, 1.0)]
     configs = readers.load_trial_configs(spark, f"{tmp_path}/*/config.json", "max_lr double").collect()
     assert sorted((r.run.split("/")[-2], r.max_lr) for r in configs) == [("t0", 0.0), ("t1", 0.1), ("t2", 0.2)]
+
+
+def test_null_runs_and_runs_without_configuration_stay(spark):
+    logs = spark.createDataFrame([(None, 0, 2.0), (None, 1, 1.0), ("a", 0, 3.0)], "run string, step int, loss double")
+    assert [(r.run, r.is_best) for r in runlog.new_best(logs).orderBy("run", "step").collect()] == [(None, 0), (None, 1), ("a", 0)]
+    configs = spark.createDataFrame([("b", 1.0)], "run string, max_lr double")
+    assert [(r.run, r.max_lr, r.n_steps) for r in runlog.trial_summary(logs, configs).orderBy("rank").collect()] == [
+        (None, None, 2), ("a", None, 1),
+    ]

@@ -84,3 +84,14 @@ def test_stage_lies_in_the_named_folder(spark):
     assert stage.df.count() == 5
     stage.drop()
     assert not os.path.exists(stage.path)
+
+
+def test_fingerprint_sees_where_nulls_are(spark, tmp_path):
+    schema = "a string, b string"
+    first, second = (spark.createDataFrame([r], schema) for r in ((None, "x"), ("x", None)))
+    assert cache.fingerprint(first) != cache.fingerprint(second)
+    first.write.parquet(str(tmp_path / "t"))
+    before = cache.file_fingerprint(spark, str(tmp_path / "t"))
+    assert before == cache.file_fingerprint(spark, str(tmp_path / "t"))
+    second.write.mode("append").parquet(str(tmp_path / "t"))
+    assert before != cache.file_fingerprint(spark, str(tmp_path / "t"))

@@ -116,3 +116,16 @@ def test_relaxed_training_is_close_on_prose(spark):
     got = {r.piece for r in wordpiece.train_wordpiece(counts, 260, relax=0.9, on_round=quick.append).collect()}
     assert len(got) == len(want) == 260 and len(quick) < len(exact)
     assert len(got & want) >= 250
+
+
+def test_tokenizer_file_round_trip(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(1, "the theme of there"), (2, "Ähre")], "doc_id int, text string")
+    vocab = vocabulary.word_vocab(vocabulary.word_counts(docs), 4)
+    path = tmp_path / "tokenizer.json"
+    path.write_text(vocabulary.tokenizer_json(vocab), encoding="utf-8")
+    read = vocabulary.read_tokenizer_json(spark, str(path))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, vocab.collect()))
+    ids = {r.piece: r.id for r in vocab.collect()}
+    assert Tokenizer.from_file(str(path)).encode("THE zzz [SEP]").ids == [ids["the"], 0, 2]

@@ -127,6 +127,14 @@ def peek_row(spark, sf_dir):
     return readers.peek(documents(spark, sf_dir).select("doc_id", F.char_length("text").alias("n_chars")), ["doc_id"])
 
 
+@query
+def table_saved(spark, sf_dir):
+    """Customers after saving and loading."""
+    path = scratch_path(spark, "table")
+    readers.save_table(table(spark, sf_dir, "customer"), path)
+    return readers.load_table(spark, path).select("c_custkey", "c_name", "c_acctbal")
+
+
 # Projection and batch maps
 
 
@@ -232,6 +240,14 @@ def sample_batch(spark, sf_dir):
     return batch.agg(F.count("*").alias("n"), F.avg("n_chars").cast("bigint").alias("mean_chars"))
 
 
+@query
+def sample_batch_tokens(spark, sf_dir):
+    """Mean token count of a batch of 100 documents."""
+    batch = mixing.sample_batch(documents(spark, sf_dir), ["doc_id"], n=100)
+    stats = windows.length_stats(encoded(spark, sf_dir, docs=batch))
+    return stats.select("n_rows", F.col("mean_len_int").alias("mean_tokens"))
+
+
 @query
 def split_exact(spark, sf_dir):
     return splitting.split_exact(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 0.1, SEED)

@@ -341,6 +341,10 @@ ORACLE: dict[str, str] = {
         FROM (SELECT doc_id, ids, unnest(range(2, len(ids) - 2)) AS i FROM enc)""",
     "causal_examples": f"""WITH RECURSIVE {_ENCODED} SELECT doc_id, len(list_filter(ids[2:], lambda x: x <> 6))::int AS n_labels,
         {_md5("ids[1:len(ids) - 1]")} AS input_md5, {_md5("ids[2:]")} AS label_md5 FROM enc""",
+    "table_saved": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "sample_batch_tokens": f"""WITH RECURSIVE {_ENCODED},
+        batch AS (SELECT doc_id FROM documents ORDER BY {_hash("doc_id", 42)}, doc_id LIMIT 100)
+        SELECT count(*) AS n_rows, trunc(avg(len(ids)))::bigint AS mean_tokens FROM enc JOIN batch USING (doc_id)""",
     "length_stats": f"""WITH RECURSIVE {_ENCODED} SELECT count(*) AS n_rows, min(len(ids))::int AS min_len, max(len(ids))::int AS max_len,
         round(avg(len(ids)), 6) AS mean_len, trunc(avg(len(ids)))::bigint AS mean_len_int FROM enc""",
     "training_windows": f"""WITH RECURSIVE {_ENCODED}, {_SEGMENTS.format(c=512, s=507)},

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.words import mix, raw_bytes, windows
+from corpuskit.llm.words import mix, raw_bytes, slices, windows
 from corpuskit.session import write_stage
 
 ALLOW, BLOCK = "allow", "block"
@@ -21,16 +20,22 @@ RULES = (
     ("com/fr/", ALLOW),
     ("com/de/", BLOCK),
 )
-# Longest context of a model, least count of a kept gram, and the most grams that both models keep together.
+# Longest context of a model, and least count of a kept gram.
 ORDER = 5
 LEAST = 2
-GRAMS = 400_000
+# Grams from this share of all symbols on are broadcast, so that many at most; the others are joined.
+SHARED_GRAMS = 400_000
+# Scores are added up in whole units of a billionth.
+UNITS = 10**9
+# Bytes of URLs handled at once; a longer URL is handled alone.
+URL_BYTES = 1 << 17
 # Every so many labelled URLs settle the threshold and are not learned from.
 CALIBRATION = 5
 # Scores, nats per character, fall into bins of this width when the threshold is chosen.
 BIN = 0.01
 
 _START, _END, _SYMBOLS = 256, 257, 258
+_GRAMS = "level int, context bigint, gram bigint, shorter bigint, n bigint, good bigint, bad bigint"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,108 +82,105 @@ def grams(urls: pa.Array, order: int = ORDER) -> tuple[np.ndarray, list[np.ndarr
     return owner, contexts, whole
 
 
-@dataclass(frozen=True)
-class Model:
-    """Counts of both classes over kept grams, found by hash; column 0 is accepted, column 1 rejected."""
-
-    grams: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
-
-    @staticmethod
-    def from_counts(context: np.ndarray, gram: np.ndarray, counts: np.ndarray) -> Model:
-        order = np.argsort(gram)
-        held, at = np.unique(context, return_inverse=True)
-        totals, kinds = np.zeros((len(held), 2)), np.zeros((len(held), 2))
-        np.add.at(totals, at, counts)
-        np.add.at(kinds, at, counts > 0)
-        return Model(gram[order], counts[order].astype(float), held, totals, kinds)
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def scores(self, urls: pa.Array, order: int = ORDER) -> np.ndarray:
-        """Log-likelihood per symbol under the accepted model less that under the rejected one.
-
-        A context's estimate is mixed with the next shorter one's in proportion to the kinds of symbols seen after
-        it (Witten and Bell); unknown contexts leave the shorter one's as it is.
-        """
-        owner, contexts, whole = grams(urls, order)
-        chance = np.full((len(owner), 2), 1 / _SYMBOLS)
-        for context, gram in zip(contexts, whole):
-            at, known = self._find(self.contexts, context)
-            total, kinds = self.totals[at] * known[:, None], self.kinds[at] * known[:, None]
-            at, known = self._find(self.grams, gram)
-            seen = self.counts[at] * known[:, None]
-            mass = total + kinds
-            chance = np.where(mass > 0, (seen + kinds * chance) / np.maximum(mass, 1), chance)
-        ratio = np.log(chance[:, 0]) - np.log(chance[:, 1])
-        return np.bincount(owner, ratio, len(urls)) / np.bincount(owner, minlength=len(urls)).clip(1)
-
-
 def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Gram counts of a batch, accepted and rejected, grams of equal hash together."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        accepted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        owner, contexts, whole = grams(batch.column(0), order)
-        context, gram = np.concatenate(contexts), np.concatenate(whole)
-        good = np.tile(accepted[owner], order + 1)
-        keys, first, at = np.unique(gram, return_index=True, return_inverse=True)
-        yield pa.record_batch(
-            [
-                pa.array(context[first].view(np.int64)),
-                pa.array(keys.view(np.int64)),
-                pa.array(np.bincount(at, good, len(keys)).astype(np.int64)),
-                pa.array(np.bincount(at, ~good, len(keys)).astype(np.int64)),
-            ],
-            ["context", "gram", "good", "bad"],
-        )
-
-
-def fit(labelled: DataFrame, order: int = ORDER, least: int = LEAST, most_grams: int = GRAMS) -> Model | None:
-    """Both models from ``(url, accepted)`` rows, counted over all of them; None unless there are both classes.
-
-    Grams seen at least ``least`` times are kept, or a higher number of times where that would leave more than
-    ``most_grams``: the model that is broadcast is bounded, and lower-order estimates stand in for what is cut.
+    """Distinct grams of a part of a batch: how often they occur in all URLs, in accepted and in rejected ones."""
+    for part in (x for batch in batches for x in slices(batch, "url", URL_BYTES)):
+        label = part.column(1).to_numpy(zero_copy_only=False)
+        owner, contexts, whole = grams(part.column(0), order)
+        label = label[owner]
+        for level, (context, gram) in enumerate(zip(contexts, whole)):
+            keys, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            shorter = whole[level - 1][first] if level else np.zeros(len(keys), np.uint64)
+            sums = [np.bincount(at, mask, len(keys)).astype(np.int64) for mask in (None, label > 0, label < 0)]
+            hashes = [pa.array(x.view(np.int64)) for x in (context[first], keys, shorter)]
+            yield pa.record_batch(
+                [pa.array(np.full(len(keys), level, np.int32)), *hashes, *map(pa.array, sums)],
+                ["level", "context", "gram", "shorter", "n", "good", "bad"],
+            )
+
+
+def log_ratios(urls: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """``(gram, n, ratio)`` for every symbol with its longest context that occurs in ``urls (url, label)``.
+
+    ``label`` is 1 for accepted URLs, -1 for rejected ones and 0 for those not learned from; ``ratio`` is the log of a
+    gram's chance under the accepted model less that under the rejected one, in units of ``1 / UNITS``. Both models
+    hold all grams that were learned ``least`` times. A context's estimate is mixed with the next shorter one's in
+    proportion to the kinds of symbols seen after it (Witten and Bell); unknown contexts leave that as it is.
+
+    Counts stay distributed. A gram takes the shorter estimate from the gram without its first symbol; as rows are
+    distinct grams, no key of these joins, and no context, has more rows than there are symbols.
     """
-    classes = {row["accepted"] for row in labelled.select("accepted").distinct().collect()}
-    if classes != {True, False}:
-        return None
-    counted = labelled.select("url", "accepted").mapInArrow(
-        lambda batches: _counted(batches, order), "context bigint, gram bigint, good bigint, bad bigint"
+    counted = urls.select("url", F.col("label").cast("int")).mapInArrow(
+        lambda batches: _counted(batches, order), _GRAMS
     )
     held = counted.groupBy("gram").agg(
-        F.min("context").alias("context"), F.sum("good").alias("good"), F.sum("bad").alias("bad")
-    )
-    held = write_stage(held.withColumn("n", F.col("good") + F.col("bad")), "grams").df
-    steps = held.where(F.col("n") >= least).groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n"))
-    cut, kept = 1001, 0
-    for step in steps.collect():  # at most 1,000 rows
-        kept += step["count"]
-        if kept > most_grams and cut <= 1000:
-            break
-        cut = step["n"]
-    found = held.where(F.col("n") >= cut).select("context", "gram", "good", "bad").toArrow()
-    counts = np.stack([found["good"].to_numpy(), found["bad"].to_numpy()], axis=1).reshape(-1, 2)
-    return Model.from_counts(
-        found["context"].to_numpy().view(np.uint64), found["gram"].to_numpy().view(np.uint64), counts
+        *[F.min(c).alias(c) for c in ("level", "context", "shorter")], *[F.sum(c).alias(c) for c in ("n", "good", "bad")]
     )
-
-
-def scored(model: Model, url: Column, order: int = ORDER) -> Column:
-    @F.arrow_udf("double")
-    def ratio(urls: pa.Array) -> pa.Array:
-        return pa.array(model.scores(urls, order))
-
-    return ratio(F.coalesce(url, F.lit("")))
+    kept, context = F.col("good") + F.col("bad") >= least, Window.partitionBy("context")
+    for side in ("good", "bad"):
+        held = held.withColumn(f"{side}_seen", F.when(kept, F.col(side)).otherwise(F.lit(0)))
+    for side in ("good", "bad"):
+        seen = F.col(f"{side}_seen")
+        held = held.withColumn(f"{side}_kinds", F.sum((seen > 0).cast("int")).over(context))
+        held = held.withColumn(f"{side}_mass", F.sum(seen).over(context) + F.col(f"{side}_kinds"))
+    held = write_stage(held.drop("context", "good", "bad"), "grams").df
+    estimates = None
+    for level in range(order + 1):
+        here = held.where(F.col("level") == level)
+        if estimates is not None:
+            here = here.join(estimates, "shorter")
+        chances = {}
+        for side in ("good", "bad"):
+            lower = F.lit(1 / _SYMBOLS) if estimates is None else F.col(f"{side}_chance")
+            mixed = (F.col(f"{side}_seen") + F.col(f"{side}_kinds") * lower) / F.col(f"{side}_mass")
+            chances[side] = F.when(F.col(f"{side}_mass") > 0, mixed).otherwise(lower)
+        columns = [chance.alias(f"{side}_chance") for side, chance in chances.items()]
+        estimates = here.select(F.col("gram").alias("shorter"), "n", *columns)
+        if level < order:
+            estimates = estimates.drop("n")
+    ratio = F.round((F.log("good_chance") - F.log("bad_chance")) * UNITS).cast("bigint")
+    return estimates.select(F.col("shorter").alias("gram"), "n", ratio.alias("ratio"))
+
+
+def with_scores(rows: DataFrame, ratios: DataFrame, order: int = ORDER, shared_grams: int = SHARED_GRAMS) -> DataFrame:
+    """``rows`` with ``score``: the mean of ``ratios`` over the symbols of ``url``, which must all be in ``ratios``.
+
+    Grams that make up at least one in ``shared_grams`` of all symbols, so no more than that many, are broadcast and
+    summed in the tasks. The others of a URL are joined, where a key has fewer rows than that share. Sums are of whole
+    numbers, so reruns agree. ``rows`` has no columns ``spot`` and ``parts``.
+    """
+    total = ratios.agg(F.sum("n")).first()[0] or 0
+    often = ratios.where(F.col("n") * shared_grams >= total).select("gram", "ratio").toArrow().sort_by("gram")
+    shared = rows.sparkSession.sparkContext.broadcast((often["gram"].to_numpy(), often["ratio"].to_numpy()))
+    kind = pa.struct([("known", pa.int64()), ("size", pa.int64()), ("missing", pa.list_(pa.int64()))])
+
+    def looked_up(urls: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        owner, _, whole = grams(urls, order)
+        wanted = whole[order].view(np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        running = np.zeros(len(wanted) + 1, np.int64)
+        running[1:][found] = values[at[found]]
+        running = np.cumsum(running)
+        bounds = np.searchsorted(owner, np.arange(len(urls) + 1))
+        left = np.concatenate([[0], np.cumsum(~found)])[bounds].astype(np.int32)
+        missing = pa.ListArray.from_arrays(pa.array(left), pa.array(wanted[~found]))
+        columns = [pa.array(np.diff(running[bounds])), pa.array(np.diff(bounds).astype(np.int64)), missing]
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    @F.arrow_udf("struct<known: bigint, size: bigint, missing: array<bigint>>")
+    def summed(urls: pa.Array) -> pa.Array:
+        parts = slices(pa.record_batch([urls], ["url"]), "url", URL_BYTES)
+        return pa.concat_arrays([pa.array([], kind), *(looked_up(part.column(0)) for part in parts)])
+
+    # Written once, so that the numbers of the rows stay the same.
+    placed = rows.withColumn("parts", summed(F.coalesce("url", F.lit(""))))
+    placed = write_stage(placed.withColumn("spot", F.monotonically_increasing_id()), "urls").df
+    rest = placed.select("spot", F.explode("parts.missing").alias("gram")).join(ratios.select("gram", "ratio"), "gram")
+    rest = rest.groupBy("spot").agg(F.sum("ratio").alias("rest"))
+    score = (F.col("parts.known") + F.coalesce("rest", F.lit(0))) / (F.col("parts.size") * UNITS)
+    return placed.join(rest, "spot", "left").withColumn("score", score).drop("spot", "parts", "rest")
 
 
 def threshold(scores: DataFrame, width: float = BIN) -> float:
@@ -207,7 +209,7 @@ def judge(
     url_column: str = "url",
     order: int = ORDER,
     least: int = LEAST,
-    most_grams: int = GRAMS,
+    shared_grams: int = SHARED_GRAMS,
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` for every URL.
 
@@ -225,16 +227,18 @@ def judge(
     rows = rows.withColumns({"host": host, "path": path})
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "says": says})
-    labelled = rows.where("says IS NOT NULL").select("url", (F.col("says") == ALLOW).alias("accepted"))
     held_back = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0
-    model = fit(labelled.where(~held_back), order, least, most_grams)
-    if model is None:
-        only = labelled.select("accepted").distinct().collect()
+    rows = rows.withColumn("accepted", F.col("says") == ALLOW).withColumn("held_back", held_back)
+    learned = F.when(F.col("accepted") & ~F.col("held_back"), 1).when(~F.col("accepted") & ~F.col("held_back"), -1)
+    labels = rows.select(F.coalesce("url", F.lit("")).alias("url"), F.coalesce(learned, F.lit(0)).alias("label"))
+    if {row["label"] for row in labels.select("label").distinct().collect()} >= {1, -1}:
+        ratios = write_stage(log_ratios(labels, order, least), "ratios").df
+        found = write_stage(with_scores(rows, ratios, order, shared_grams).drop("url"), "scores").df
+        edge = threshold(found.where("accepted IS NOT NULL AND held_back"))
+        verdict = F.coalesce("says", F.when(F.col("score") >= edge, ALLOW).otherwise(BLOCK))
+    else:
+        only = rows.where("accepted IS NOT NULL").select("accepted").distinct().collect()
         other = BLOCK if [r["accepted"] for r in only] == [False] else ALLOW
         found = rows.withColumn("score", F.lit(None).cast("double"))
         verdict = F.coalesce("says", F.lit(other))
-    else:
-        edge = threshold(labelled.where(held_back).withColumn("score", scored(model, F.col("url"), order)))
-        found = rows.withColumn("score", scored(model, F.col("url"), order))
-        verdict = F.coalesce("says", F.when(F.col("score") >= edge, ALLOW).otherwise(BLOCK))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -111,6 +111,8 @@ def test_urls_follow_rules_and_models(spark):
         rule = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[0])
         assert r.verdict == rule[1] if rule else r.verdict in ("allow", "block")
+    joined = urls.judge(pages.unionByName(more), shared_grams=50).collect()
+    assert {(r.page_id, r.verdict, r.score) for r in joined} == {(r.page_id, r.verdict, r.score) for r in found}
     alike = [(r.score > 0) == (r.verdict == "allow") for r in found if r.rule]
     assert sum(alike) > 0.85 * len(alike)
 
@@ -122,18 +124,18 @@ def test_urls_without_both_classes(spark, hosts, verdict):
     assert urls.judge(df.where("page_id < 0")).count() == 0
 
 
-def test_model_is_a_distribution_and_matches_plain_counts():
+@pytest.mark.parametrize("shared_grams", [1, 6, 10**6])
+def test_model_is_a_distribution_and_matches_plain_counts(spark, shared_grams):
     train = ["abab", "abcb", "bbb", "abab"]
     accepted = np.array([True, False, True, True])
-    owner, contexts, whole = urls.grams(pa.array(train))
-    counts = {}
-    for context, gram in zip(contexts, whole):
-        for o, c, g in zip(owner, context.tolist(), gram.tolist()):
-            counts.setdefault((c, g), [0, 0])[0 if accepted[o] else 1] += 1
-    keys = list(counts)
-    model = urls.Model.from_counts(
-        np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint64), np.array([counts[k] for k in keys])
+    test = ["abc", "b", "zab", "", "abc", "ab" * 300]
+    rows = spark.createDataFrame(
+        [(-1, u, 1 if good else -1) for u, good in zip(train, accepted)] + [(i, u, 0) for i, u in enumerate(test)],
+        "i int, url string, label int",
     )
+    ratios = urls.log_ratios(rows, least=1)
+    found = urls.with_scores(rows.where("i >= 0").drop("label"), ratios, shared_grams=shared_grams)
+    scores = {r.i: r.score for r in found.collect()}
 
     def chance(history, symbol, side):
         p = 1 / 258
@@ -150,8 +152,9 @@ def test_model_is_a_distribution_and_matches_plain_counts():
             p = (followers[symbol] + len(followers) * p) / mass if mass else p
         return p
 
-    test = ["abc", "b", "zab"]
-    for text, score in zip(test, model.scores(pa.array(test))):
+    assert len(scores) == len(test)
+    for i, text in enumerate(test):
+        score = scores[i]
         symbols = ["^"] * urls.ORDER + list(text) + ["$"]
         logs = [np.log(chance(symbols[:i], symbols[i], 0) / chance(symbols[:i], symbols[i], 1)) for i in range(urls.ORDER, len(symbols))]
         assert score == pytest.approx(np.mean(logs))

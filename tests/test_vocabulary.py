@@ -70,6 +70,13 @@ def test_training_equals_one_merge_at_a_time(spark, seed, letters):
     vocabulary.check_vocab(vocab)
 
 
+@pytest.mark.parametrize("seed,letters,heavy", [(5, "abc", 3), (6, "ab#", 1), (7, "abcde", 12)])
+def test_training_with_few_counted_pairs(spark, seed, letters, heavy):
+    counts = corpus(seed, 60, letters)
+    vocab = wordpiece.train_wordpiece(counts_frame(spark, counts), 45, heavy=heavy)
+    assert [r.piece for r in vocab.orderBy("id").collect()] == models.wordpiece(counts, 45, tx.SPECIALS)
+
+
 def test_rounds_take_several_merges_when_that_is_exact():
     rows = [
         {"a": "a", "b": "##b", "n": 100, "around": 10},

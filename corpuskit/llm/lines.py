@@ -115,21 +115,20 @@ def segment_keys(found: Lines, segments: int, near_chars: int) -> Iterator[tuple
             yield rows, mix(before + mix(after + tag)), longer, segment
 
 
-def _coarse_keys(batch: pa.RecordBatch, near_chars: int) -> np.ndarray:
-    keys = [np.zeros(0, np.uint64)]
-    for part in slices(batch):
-        found = lines_of(part.column(part.schema.get_field_index("text")).to_pylist())
-        keys += [k for _, k, _, _ in segment_keys(found, COARSE, near_chars)]
-    return np.concatenate(keys)
+def _coarse_keys(part: pa.RecordBatch, near_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    found = lines_of(part.column(part.schema.get_field_index("text")).to_pylist())
+    pairs = [(found.owner[rows], keys) for rows, keys, _, _ in segment_keys(found, COARSE, near_chars)]
+    return np.concatenate([o for o, _ in pairs]).astype(np.int64), np.concatenate([k for _, k in pairs])
 
 
-def _shared(batches: Iterator[pa.RecordBatch], near_chars: int, estimates) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], near_chars: int, counted) -> Iterator[pa.RecordBatch]:
     """Lines that may have an equal or near one elsewhere, with their text."""
     for part in (x for batch in batches for x in slices(batch)):
+        known = sketch.counted_in(counted, part)
         found = lines_of(part.column(2).to_pylist())
         wanted = np.zeros(len(found.starts), bool)
         for rows, keys, _, _ in segment_keys(found, COARSE, near_chars):
-            wanted[rows] |= estimates.is_repeated(keys)
+            wanted[rows] |= known.is_repeated(keys, found.owner[rows])
         at = np.flatnonzero(wanted)
         docs = part.column(0).to_numpy(zero_copy_only=False)[found.owner[at]]
         marks = part.column(1).to_numpy(zero_copy_only=False)[found.owner[at]]
@@ -251,10 +250,7 @@ def repeated_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
         doc_key(F.col("doc_id")).alias("doc"), text_mark(F.col("text")).alias("mark"), "text"
     ).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = sketch.estimates(
-        rows.select("text"), lambda batch: _coarse_keys(batch, near_chars), sketch.cells_for(size / _LINE_BYTES)
-    )
-    shared = docs.sparkSession.sparkContext.broadcast(counted)
+    rows, shared = sketch.prefilter(rows, lambda part: _coarse_keys(part, near_chars), size / _LINE_BYTES)
     found = write_stage(
         rows.mapInArrow(lambda batches: _shared(batches, near_chars, shared.value), _LINES), "lines"
     ).df

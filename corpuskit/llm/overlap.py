@@ -68,22 +68,21 @@ def _in_prefix(bounds: np.ndarray, percent: int) -> np.ndarray:
     return np.arange(bounds[-1]) - np.repeat(bounds[:-1], n) < np.repeat(length, n)
 
 
-def prefix_keys(batch: pa.RecordBatch, width: int, percent: int) -> np.ndarray:
-    found = [np.zeros(0, np.uint64)]
-    for part in slices(batch):
-        values, bounds = shingle_sets(part.column(part.schema.get_field_index("text")), width)
-        found.append(values[_in_prefix(bounds, percent)])
-    return np.concatenate(found)
+def prefix_keys(part: pa.RecordBatch, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and shingles of their prefixes."""
+    values, bounds = shingle_sets(part.column(part.schema.get_field_index("text")), width)
+    prefix = _in_prefix(bounds, percent)
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[prefix], values[prefix]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, estimates) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, counted) -> Iterator[pa.RecordBatch]:
     """A row per document; shingles only where enough of the prefix may be in other prefixes too."""
     for part in (x for batch in batches for x in slices(batch)):
         values, bounds = shingle_sets(part.column(2), width)
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(n)), n)
         prefix = _in_prefix(bounds, percent)
-        prefix[prefix] = estimates.is_repeated(values[prefix])
+        prefix[prefix] = sketch.counted_in(counted, part).is_repeated(values[prefix], owner[prefix])
         shared = np.bincount(owner[prefix], minlength=len(n))
         taken = (n > 0) & (shared >= extra(needed(n, percent)))
         sums = [np.bincount(owner, minlength=len(n)).astype(np.uint64)]
@@ -213,7 +212,8 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
     hundredths on; a component is all that links reach.
 
     1. Equal sets are one node. A set's prefix is its least shingles by hash, long enough that linked sets share an
-       eighth of their size in it; a count-min sketch over all prefixes lets go the sets whose prefix cannot.
+       eighth of their size in it; a count-min sketch over all prefixes lets go the sets whose prefix cannot. Beyond the
+       shingles that the sketch tells apart, those it lets through are counted exactly.
     2. Shingles of the others' prefixes are counted exactly, and each set keeps its rarest.
     3. Sets go into blocks by the commonest shingle kept, so that sets alike meet in one block. Pairs of blocks with a
        shingle in common are checked member by member, exactly and whole, in one task of bounded size each, which gives
@@ -227,10 +227,7 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
         "text",
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = sketch.estimates(
-        rows.select("text"), lambda batch: prefix_keys(batch, width, percent), sketch.cells_for(size / _PREFIX_BYTES)
-    )
-    shared = docs.sparkSession.sparkContext.broadcast(counted)
+    rows, shared = sketch.prefilter(rows, lambda part: prefix_keys(part, width, percent), size / _PREFIX_BYTES)
     sets = write_stage(
         rows.mapInArrow(lambda batches: _sets(batches, width, percent, shared.value), _SETS), "sets"
     ).df

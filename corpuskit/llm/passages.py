@@ -49,28 +49,25 @@ def anchors(words: Words, width: int) -> np.ndarray:
     return _least_of(windows(words.hashes, half), width - half + 1)
 
 
-def anchor_keys(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    """The anchors of each text, once per text."""
-    found = []
-    for part in slices(batch):
-        words = split(part.column(part.schema.get_field_index("text")))
-        inside = window_mask(words.bounds, width, len(words.hashes))
-        if not inside.any():
-            continue
-        keys = anchors(words, width)[inside]
-        owner = np.repeat(np.arange(len(words)), words.counts())[: len(inside)][inside]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        keys, owner = keys[new], owner[new]
-        order = np.lexsort((keys, owner))
-        keys, owner = keys[order], owner[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        found.append(keys[first])
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], width: int, estimates: sketch.Estimates) -> Iterator[pa.RecordBatch]:
+def anchor_keys(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and anchors of the texts, each once per text."""
+    words = split(part.column(part.schema.get_field_index("text")))
+    inside = window_mask(words.bounds, width, len(words.hashes))
+    if not inside.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    keys = anchors(words, width)[inside]
+    owner = np.repeat(np.arange(len(words)), words.counts())[: len(inside)][inside]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    keys, owner = keys[new], owner[new]
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], keys[first]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], width: int, counted) -> Iterator[pa.RecordBatch]:
     """Windows estimated to be in two documents: 96 bits of hash, document, places in the text.
 
     A window that a text repeats is one row, with its further places as a list.
@@ -80,15 +77,17 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, estimates: sketch
         at = np.flatnonzero(window_mask(words.bounds, width, len(words.hashes)))
         if not len(at):
             continue
-        keys = anchors(words, width)
+        known = sketch.counted_in(counted, part)
+        keys, begun = anchors(words, width), np.repeat(np.arange(len(words)), words.counts())
         changed = np.ones(len(keys), bool)
-        changed[1:] = keys[1:] != keys[:-1]
+        changed[1:] = (keys[1:] != keys[:-1]) | (begun[1 : len(keys)] != begun[: len(keys) - 1])
+        begun = begun[: len(keys)][changed]
         run = np.cumsum(changed) - 1
-        repeated = estimates.is_repeated(keys[changed])[run]
+        repeated = known.is_repeated(keys[changed], begun)[run]
         at = at[repeated[at]]
         if not len(at):
             continue
-        hot = estimates.is_hot(keys[changed])[run][at]
+        hot = known.is_hot(keys[changed], begun)[run][at]
         owner = np.searchsorted(words.bounds, at, side="right") - 1
         h1, place = windows(words.hashes, width)[at], at - words.bounds[owner]
         order = np.lexsort((place, h1, owner))
@@ -164,10 +163,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> Dat
         doc_key(F.col("doc_id")).alias("doc"), "text", text_mark(F.col("text")).alias("mark")
     ).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = sketch.estimates(
-        rows.select("text"), lambda batch: anchor_keys(batch, width), sketch.cells_for(size / _ANCHOR_BYTES), hot
-    )
-    shared = df_broadcast(docs, counted)
+    rows, shared = sketch.prefilter(rows, lambda part: anchor_keys(part, width), size / _ANCHOR_BYTES, hot)
     found = rows.mapInArrow(lambda batches: _candidates(batches, width, shared.value), _FOUND)
     # Most windows are grouped once. Those of very many documents are reduced to their least id in every task first
     # and then joined back, which Spark can split where a window is skewed.
@@ -184,10 +180,6 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> Dat
     )
 
 
-def df_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
 def without_repeated_passages(docs: DataFrame, width: int = WIDTH, texts: bool = True, hot: int = HOT) -> DataFrame:
     """Documents without the words of windows that begin in a document with a smaller id as well.
 
@@ -197,7 +189,8 @@ def without_repeated_passages(docs: DataFrame, width: int = WIDTH, texts: bool =
 
     A first pass counts, in a sketch merged from all tasks, in how many texts each window's anchor is: the least hash
     of the half windows in it. Equal windows have equal anchors, and the sketch never counts too low, so no repeated
-    window is lost; the second pass groups the windows whose anchor may be in two texts by 96 bits of hash.
+    window is lost; the second pass groups the windows whose anchor may be in two texts by 96 bits of hash. Where the
+    corpus has more anchors than a sketch of bounded size tells apart, those it lets through are counted exactly.
 
     A null text has no words; a null id is smaller than any other and its rows are equal among themselves, as rows
     that repeat an id are: neither removes from the other. Texts of fewer words stay whole. No rows give no rows; other

@@ -38,14 +38,47 @@ def test_window_hashes_tell_windows_apart(width):
 
 def test_sketch_never_counts_too_low(spark):
     keys = np.random.default_rng(1).integers(0, 3000, 5000)
-    df = spark.createDataFrame([(int(k),) for k in keys], "k bigint").repartition(5)
-    found = sketch.estimates(df, lambda b: words.mix(b.column(0).to_numpy().astype(np.uint64)), 1 << 16, 3)
+    df = spark.createDataFrame([(str(k),) for k in keys], "text string").repartition(5)
+
+    def keys_of(part):
+        return np.arange(part.num_rows), words.mix(np.array(part.column(0).to_pylist(), np.uint64))
+
+    found = sketch.estimates(df, keys_of, 1 << 16, 3)
     held, counts = np.unique(keys, return_counts=True)
     hashed = words.mix(held.astype(np.uint64))
     assert found.is_repeated(hashed)[counts >= 2].all() and found.is_hot(hashed)[counts >= 3].all()
     assert found.is_repeated(hashed)[counts == 1].mean() < 0.1
 
 
+@pytest.fixture
+def small_sketch(request, monkeypatch):
+    """With True as parameter, any input has more keys than a sketch is said to tell apart."""
+    if request.param:
+        monkeypatch.setattr(sketch, "MOST_CELLS", 1 << 16)
+        monkeypatch.setattr(sketch, "CELLS_PER_KEY", 1 << 40)
+
+
+either_way = pytest.mark.parametrize("small_sketch", [False, True], indirect=True)
+
+
+@pytest.mark.parametrize("small_sketch", [True], indirect=True)
+def test_keys_beyond_the_sketch_are_counted_exactly(spark, small_sketch):
+    # 300,000 keys in 65,536 cells: the sketch lets nearly all of them through.
+    texts = {(i, 0): str(i) for i in range(100)} | {(200, 0): "7", (200, 1): "8", (201, 0): "7", (300, 0): None}
+    rows = spark.createDataFrame([(d, m, t) for (d, m), t in texts.items()], "doc bigint, mark bigint, text string")
+
+    def keys_of(part):
+        numbers = np.array([int(t or 0) for t in part.column(part.schema.get_field_index("text")).to_pylist()], np.uint64)
+        some = np.arange(3000, dtype=np.uint64)
+        return np.repeat(np.arange(len(numbers)), 3000), words.mix((numbers[:, None] * np.uint64(5000) + some).ravel())
+
+    found, counted = sketch.prefilter(rows.repartition(4), keys_of, 1000, 3)
+    assert counted.value is None and found.columns == ["doc", "mark", "text", "open", "often"]
+    got = {(r.doc, r.mark): (len(r.open or []), len(r.often or [])) for r in found.collect()}
+    want = {k: (3000 if t in ("7", "8", "0", None) else 0, 3000 if t == "7" else 0) for k, t in texts.items()}
+    assert got == want
+
+
 def passage_documents(seed=5):
     rng = random.Random(seed)
     shared = [text_of(rng, n) for n in (49, 50, 51, 120)]
@@ -61,8 +94,9 @@ def passage_documents(seed=5):
     return docs
 
 
+@either_way
 @pytest.mark.parametrize("hot", [2, 200])
-def test_passages_match_brute_force(spark, hot):
+def test_passages_match_brute_force(spark, hot, small_sketch):
     docs = passage_documents()
     df = brute.documents(spark, list(docs.items())).repartition(3)
     found = passages.without_repeated_passages(df, hot=hot).collect()
@@ -84,7 +118,8 @@ def test_passages_of_null_and_repeated_ids(spark):
     "operator",
     [passages.without_repeated_passages, lines.line_report, lines.without_repeated_lines, overlap.jaccard_components, overlap.without_near_copies],
 )
-def test_no_rows_and_nothing_but_empty_rows(spark, operator):
+@either_way
+def test_no_rows_and_nothing_but_empty_rows(spark, operator, small_sketch):
     assert operator(brute.documents(spark, [])).count() == 0
     assert operator(brute.documents(spark, [(1, None), (None, ""), (2, " ")])).count() == 3
 
@@ -106,8 +141,9 @@ def near_documents(seed=11):
     return docs
 
 
+@either_way
 @pytest.mark.parametrize("block", [2, 256])
-def test_components_match_brute_force(spark, monkeypatch, block):
+def test_components_match_brute_force(spark, monkeypatch, block, small_sketch):
     monkeypatch.setattr(overlap, "BLOCK_SETS", block)
     docs = near_documents()
     df = brute.documents(spark, list(docs.items())).repartition(3)
@@ -156,7 +192,8 @@ def line_documents(seed=4):
     return docs
 
 
-def test_lines_match_brute_force(spark):
+@either_way
+def test_lines_match_brute_force(spark, small_sketch):
     docs = line_documents()
     df = brute.documents(spark, list(docs.items())).repartition(3)
     truth = brute.kept_lines(docs)

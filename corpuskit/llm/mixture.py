@@ -12,8 +12,9 @@ from corpuskit.session import write_stage
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 17
-# Slices of the Pareto order per source; only the slice that holds a source's edge is sorted.
-SLICES = 4096
+# Slices of the Pareto order per source, one per so many rows of all sources but as many as here at least; only the
+# slice that holds a source's edge is sorted.
+SLICES, SLICE_ROWS = 4096, 1 << 14
 # Sources up to which their plan is broadcast; a larger plan is joined by key.
 BROADCAST_SOURCES = 50_000
 
@@ -93,7 +94,7 @@ def allocate(
     weights: Sequence[int] = WEIGHTS,
     cap: int = CAP,
     seed: int = SEED,
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Copies of every document that bring each source to its target.
 
@@ -104,11 +105,12 @@ def allocate(
     the document whose end or start is nearest. So a source misses its target by half a document at most, and no
     document comes more than ``cap`` times.
 
-    The order is cut into slices by rank value; only the slice with a source's edge is sorted, so a source of any size
-    is spread over all tasks. Random odds depend on seed and id, so reruns agree. A null source is a source; a null id
+    The order is cut into ``slices`` by rank value, by default the more the more rows there are; only the slice with a
+    source's edge is sorted, so a source of any size is spread over all tasks. Random odds depend on seed and id, so reruns agree. A null source is a source; a null id
     is an id; rows that repeat an id are documents of their own. No rows give no rows. Jobs run while it is planned.
     """
     sizes = rows.select("doc_id", "source", "size") if sizes is None else sizes
+    slices = max(SLICES, sizes.count() // SLICE_ROWS) if slices is None else slices
     planned = write_stage(_plan(sizes, weights, cap), "mix").df
     plan = _bounded(planned)
     placed = _with_place(sizes, plan, seed, slices)

@@ -82,7 +82,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, counted)
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(n)), n)
         prefix = _in_prefix(bounds, percent)
-        prefix[prefix] = sketch.counted_in(counted, part).is_repeated(values[prefix], owner[prefix])
+        prefix[prefix] = counted.is_repeated(values[prefix])
         shared = np.bincount(owner[prefix], minlength=len(n))
         taken = (n > 0) & (shared >= extra(needed(n, percent)))
         sums = [np.bincount(owner, minlength=len(n)).astype(np.uint64)]
@@ -212,8 +212,8 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
     hundredths on; a component is all that links reach.
 
     1. Equal sets are one node. A set's prefix is its least shingles by hash, long enough that linked sets share an
-       eighth of their size in it; a count-min sketch over all prefixes lets go the sets whose prefix cannot. Beyond the
-       shingles that the sketch tells apart, those it lets through are counted exactly.
+       eighth of their size in it; a count-min sketch over all prefixes lets go the sets whose prefix cannot. The more
+       shingles there are beyond its bound, the more it lets through to the exact counts of step 2.
     2. Shingles of the others' prefixes are counted exactly, and each set keeps its rarest.
     3. Sets go into blocks by the commonest shingle kept, so that sets alike meet in one block. Pairs of blocks with a
        shingle in common are checked member by member, exactly and whole, in one task of bounded size each, which gives
@@ -227,7 +227,9 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
         "text",
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows, shared = sketch.prefilter(rows, lambda part: prefix_keys(part, width, percent), size / _PREFIX_BYTES)
+    cells = sketch.cells_for(size / _PREFIX_BYTES)
+    counted = sketch.estimates(rows.select("text"), lambda part: prefix_keys(part, width, percent), cells)
+    shared = docs.sparkSession.sparkContext.broadcast(counted)
     sets = write_stage(
         rows.mapInArrow(lambda batches: _sets(batches, width, percent, shared.value), _SETS), "sets"
     ).df

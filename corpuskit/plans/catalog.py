@@ -25,11 +25,11 @@ from corpuskit.plans import flows
 from corpuskit.session import configure, scratch_path, scratch_root, write_stage
 from corpuskit.sources import cache, readers
 
-WORDS = 4000
-PIECES = 3000
+VOCAB = vocabulary.VOCAB_SIZE
+WORDS = PIECES = VOCAB - len(tx.SPECIALS)
+# Sizes that the SQL of training and fits can follow; `whole` registers both at their own sizes.
 TRAINED = 400
 FITTED = 206
-VOCAB = WORDS + len(tx.SPECIALS)
 SEED = 7
 
 Query = Callable[[SparkSession, str], DataFrame]

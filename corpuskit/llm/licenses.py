@@ -110,13 +110,42 @@ def align(words: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     return matched, first, last
 
 
+def chains(hits: list[tuple[int, int]], window: int) -> Iterator[list[tuple[int, int]]]:
+    """Hits ``(place, at)`` of one template in chains in which both go on, the best first; every hit is in one chain.
+
+    Words of a gram count as in an alignment, and a step off the diagonal costs as many gaps. A hit is joined to one of
+    the ``window`` hits before it.
+    """
+    score, back = [], []
+    for i, (place, at) in enumerate(hits):
+        best, came = _MATCH * GRAM, -1
+        for j in range(i - 1, max(-1, i - 1 - window), -1):
+            over, up = place - hits[j][0], at - hits[j][1]
+            if over > 0 and up > 0:
+                reached = score[j] + _MATCH * min(GRAM, over, up) + _GAP * abs(over - up)
+                if reached > best:
+                    best, came = reached, j
+        score.append(best)
+        back.append(came)
+    used = [False] * len(hits)
+    for i in sorted(range(len(hits)), key=lambda i: (-score[i], i)):
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(hits[i])
+            i = back[i]
+        if chain:
+            yield chain
+
+
 def candidates(
     places: np.ndarray, which: np.ndarray, index: Index, share: float, band: int
 ) -> list[tuple[int, int, int]]:
     """``(template, shift, room)`` of runs of hits near one diagonal that hold enough of the template's fingerprints.
 
     A run ends where a place of the template comes again, or the diagonal leaves the band. ``room`` is the band, or
-    half the way to the next run of the same template, so that occurrences side by side are told apart.
+    half the way to the next run of the same template, so that occurrences side by side are told apart. Hits of several
+    runs whose template places go on in order are one candidate more, with the band as wide as their drift.
     """
     diagonals = defaultdict(list)
     for place, key in zip(places.tolist(), which.tolist()):
@@ -136,6 +165,11 @@ def candidates(
         for i, shift in enumerate(shifts):
             near = [abs(shift - other) // 2 for other in shifts[max(0, i - 1) : i + 2] if other != shift]
             found.append((number, shift, min([band, *near])))
+        if len(runs) > 1 and len(hits) >= share * index.sizes[number]:
+            for chain in chains(sorted((diagonal + at, at) for diagonal, at in hits), 2 * index.sizes[number]):
+                low, high = (edge(place - at for place, at in chain) for edge in (min, max))
+                if high > low and len(chain) >= share * index.sizes[number]:
+                    found.append((number, (low + high) // 2, (high - low + 1) // 2 + band))
     return found
 
 
@@ -210,7 +244,7 @@ def scan(
     are half open and count from 0. Words are runs of ASCII letters and digits and of all other characters beyond
     ASCII, without case. All grams of a document are looked up among the winnowed fingerprints of ``templates``
     ``(name, license, text)``; where hits near one diagonal hold the ``share`` of a template's fingerprints, template
-    and document are aligned within ``band`` of it, and ``coverage`` of the template's words must match. Of matches
+    and document are aligned within ``band`` of it, or of all diagonals that the hits of one copy drift through, and ``coverage`` of the template's words must match. Of matches
     that overlap the one with most matched words is reported, so a notice that is part of a longer one is not reported
     again. A match without five words in a row as in the template, three in a template of some twenty words, has no
     fingerprint to be found by. The templates are a short list given by the caller and go to every task.

@@ -71,6 +71,28 @@ def test_license_spans(spark):
     assert licenses.scan(brute.documents(spark, [])).count() == 0
 
 
+def scanned(texts):
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = licenses._scan(iter([batch]), TEMPLATES, licenses.BAND, licenses.CANDIDATE, licenses.COVERAGE)
+    return [(r["doc_id"], r["template"]) for part in parts for r in part.to_pylist()]
+
+
+@pytest.mark.parametrize("name", [n for n, _, t in TEMPLATES if len(t.split()) > 60])
+def test_inserted_words_do_not_lose_a_license(name):
+    words = next(t for n, _, t in TEMPLATES if n == name).split()
+    texts = []
+    for parts in (5, 7, 10, len(words) // 8):
+        size = -(-len(words) // parts)
+        lines = [words[i : i + size] for i in range(0, len(words), size)]
+        for more in (1, 3) if parts < 10 else (1,):
+            texts.append("\n".join(" ".join(["REM"] * more + line) for line in lines))
+    for gap in (13, 20, 30):
+        texts.append(" ".join([*words[: len(words) // 2], *["zzz"] * gap, *words[len(words) // 2 :]]))
+    texts.append(f"{texts[-2]} other words {texts[-2]}")
+    found = Counter(scanned(texts))
+    assert found == {**{(i, name): 1 for i in range(len(texts) - 1)}, (len(texts) - 1, name): 2}
+
+
 def test_clean_documents_hold_no_license(spark):
     docs = table(spark, "documents").where("NOT text RLIKE '(?i)licen'")
     assert licenses.scan(docs).count() == 0

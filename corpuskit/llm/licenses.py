@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -21,6 +22,8 @@ GRAM, WINDOW, SHORT = 3, 3, 20
 BAND = 12
 # Share of a template's fingerprints that makes a candidate, and of its words that makes a match.
 CANDIDATE, COVERAGE = 0.2, 0.8
+# Words of a notice of under SHORT words that do not name the license; in longer templates only the number of a version does.
+PLAIN = frozenset("a an and by cc in is its license licensed of or released software terms the this to under v version with work".split())
 
 _MATCH, _MISS, _GAP = 2, -1, -1
 _NOT_WORD = np.ones(256, bool)
@@ -44,6 +47,24 @@ def winnowed(hashes: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> list
     return [(value, place) for place, value in sorted(kept.items())]
 
 
+def telling(text: str, short: bool) -> list[int]:
+    """Places of the words that tell a template from its siblings."""
+    words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower())
+    found = []
+    for i, word in enumerate(words):
+        number = word.isdigit() and i and (words[i - 1] in ("v", "version") or found[-1:] == [i - 1])
+        if number or (short and (word not in PLAIN or words[i - 1 : i] == ["cc"])):
+            found.append(i)
+    return found
+
+
+def told(places: Sequence[int], pairs: dict[int, int]) -> bool:
+    """Whether an alignment holds the telling words, side by side where the template has them so."""
+    return all(p in pairs for p in places) and all(
+        pairs[b] == pairs[a] + 1 for a, b in zip(places, places[1:]) if b == a + 1
+    )
+
+
 class Index:
     """Templates by fingerprint."""
 
@@ -53,10 +74,11 @@ class Index:
         self.words = [words.hashes[a:b] for a, b in zip(words.bounds, words.bounds[1:])]
         if any(len(w) < GRAM for w in self.words):
             raise ValueError(f"a template has {GRAM} words at least")
-        self.sizes, places = [], defaultdict(list)
+        self.sizes, places, self.telling = [], defaultdict(list), []
         for number, hashes in enumerate(self.words):
             prints = winnowed(hashes)
             self.sizes.append(len(prints))
+            self.telling.append(telling(templates[number][2], len(hashes) < SHORT))
             for value, place in prints:
                 places[value].append((number, place))
         self.keys = np.array(sorted(places), np.uint64)
@@ -72,8 +94,8 @@ class Index:
         return at[same], which[same]
 
 
-def align(words: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment near a diagonal: matched words, and the first and last place in ``words`` that match.
+def align(words: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[dict[int, int], int, int]:
+    """Best local alignment near a diagonal: place in ``words`` of every matched template word, the first and the last.
 
     Template word ``i`` may stand with word ``i + shift + d`` for ``d`` from ``-band`` to ``band``.
     """
@@ -92,14 +114,14 @@ def align(words: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
         row = np.maximum.accumulate(row - _GAP * steps) + _GAP * steps
         score[i] = np.where(inside, np.maximum(row, 0), 0)
     i, d = divmod(int(score.argmax()), width)
-    matched, first, last = 0, -1, -1
+    pairs, first, last = {}, -1, -1
     while i > 0 and score[i, d] > 0:
         here = score[i, d]
         if here == score[i - 1, d] + (_MATCH if equal[i, d] else _MISS):
             if equal[i, d]:
                 first = i - 1 + shift - band + d
                 last = first if last < 0 else last
-                matched += 1
+                pairs[i - 1] = first
             i -= 1
         elif d + 1 < width and here == score[i - 1, d + 1] + _GAP:
             i, d = i - 1, d + 1
@@ -107,7 +129,7 @@ def align(words: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
             d -= 1
         else:
             break
-    return matched, first, last
+    return pairs, first, last
 
 
 def chains(hits: list[tuple[int, int]], window: int) -> Iterator[list[tuple[int, int]]]:
@@ -204,8 +226,9 @@ def _scan(batches: Iterator[pa.RecordBatch], templates, band: int, share: float,
                 template = index.words[number]
                 near = max(0, shift - room)
                 here = words.hashes[lo + near : min(hi, lo + shift + len(template) + room + 1)]
-                matched, first, last = align(here, template, shift - near, room)
-                if matched >= coverage * len(template):
+                pairs, first, last = align(here, template, shift - near, room)
+                matched = len(pairs)
+                if matched >= coverage * len(template) and told(index.telling[number], pairs):
                     key = (number, first + near)
                     spans[key] = max(spans.get(key, (0, 0)), (matched, last + near))
             if spans:
@@ -244,7 +267,9 @@ def scan(
     are half open and count from 0. Words are runs of ASCII letters and digits and of all other characters beyond
     ASCII, without case. All grams of a document are looked up among the winnowed fingerprints of ``templates``
     ``(name, license, text)``; where hits near one diagonal hold the ``share`` of a template's fingerprints, template
-    and document are aligned within ``band`` of it, or of all diagonals that the hits of one copy drift through, and ``coverage`` of the template's words must match. Of matches
+    and document are aligned within ``band`` of it, or of all diagonals that the hits of one copy drift through, and ``coverage`` of the template's words must match. Among
+    them must be all words that name the license in a short notice (those not in ``PLAIN``) and the numbers after
+    "version" in any template, without a word between them that the template has not. Of matches
     that overlap the one with most matched words is reported, so a notice that is part of a longer one is not reported
     again. A match without five words in a row as in the template, three in a template of some twenty words, has no
     fingerprint to be found by. The templates are a short list given by the caller and go to every task.

@@ -93,6 +93,19 @@ def test_inserted_words_do_not_lose_a_license(name):
     assert found == {**{(i, name): 1 for i in range(len(texts) - 1)}, (len(texts) - 1, name): 2}
 
 
+def test_near_misses_are_not_other_licenses():
+    near = ["Released under the BSD License.", "released under the new license", "Released under the ISC License."]
+    near += [f"This work is licensed under the GNU {x}." for x in ("General Public License, version 2", "Lesser General Public License, version 3")]
+    near += [f"Licensed under CC {x}." for x in ("BY 3.0", "BY-ND 4.0", "BY-NC-SA 4.0", "BY-SA 3.0", "BY-NC-ND 4.0")]
+    near += [f"Licensed under the {x}" for x in ("Apache License, Version 1.1.", "Eclipse Public License, Version 2.0.")]
+    header = next(t for n, _, t in TEMPLATES if n == "gpl-3.0-header")
+    near.append(header.replace("version 3", "version 2"))
+    assert scanned(near) == []
+    true = [text for _, _, text in TEMPLATES] + ["Licenced under the Apache License, Version 2.0", "this work is licensed under GNU General Public License version 3"]
+    names = [name for name, _, _ in TEMPLATES] + ["apache-2.0-notice", "gpl-3.0-notice"]
+    assert scanned(true) == list(enumerate(names))
+
+
 def test_clean_documents_hold_no_license(spark):
     docs = table(spark, "documents").where("NOT text RLIKE '(?i)licen'")
     assert licenses.scan(docs).count() == 0

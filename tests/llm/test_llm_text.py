@@ -346,3 +346,24 @@ def test_language_of_odd_rows(spark):
     assert language.identify(df.where("doc_id < 0")).count() == 0
     unlabelled = df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
+
+
+def test_no_label_is_left_out(spark):
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = []
+    for lang in range(130):
+        words = ["".join(rng.choices(letters[lang * 20 : lang * 20 + 25], k=4)) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=12)), f"l{lang:03}") for i in range(8 + (lang < 100))]
+    df = brute.documents(spark, rows)
+    whole, parts = (sorted(tuple(r) for r in language.identify(df, shard=n).collect()) for n in (1000, 50))
+    assert whole == parts and [r[2] for r in whole] == [r[2] for r in rows]
+
+
+def test_tables_do_not_grow_with_letters():
+    rng = random.Random(6)
+    samples = {lang: ["".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(3000))] for lang in "ab"}
+    parser = language.CrossParser(samples)
+    assert parser._table.size < 100 * 2 * 3000
+    text = parser._symbols(samples["a"][0][100:400])
+    assert parser.phrases([text])[0].tolist() == [1]

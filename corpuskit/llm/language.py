@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,14 @@ def _rates(samples: tuple, text: Column) -> Column:
     return parse(text)
 
 
+def _lettered(text: Column) -> Column:
+    @F.arrow_udf("boolean")
+    def has_letter(texts: pa.Array) -> pa.Array:
+        return pa.array([any(ch.isalpha() for ch in text or "") for text in texts.to_pylist()], pa.bool_())
+
+    return has_letter(text)
+
+
 def _better(a: Column, b: Column) -> Column:
     """The least rate and the next of two shards; of equal rates the first stays."""
     second = F.struct(b["lang"].alias("lang"), b["rate"].alias("rate"), F.least(a["rate"], b["next"]).alias("next"))
@@ -272,7 +281,16 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
 
 
 def with_language(docs: DataFrame, **sample) -> DataFrame:
-    """The documents in which a language is found, with their own columns."""
+    """The documents in which a language is found, with their own columns.
+
+    Those are the texts with a letter. One in a language that no sample holds stays, under the label of least rate; where
+    nothing is labelled, all texts with a letter stay.
+    """
     rows = docs.select(F.struct("*").alias("document"), F.col("text").alias("text"))
-    found = _parsed(rows, learned_samples(docs, **sample)).where(F.col("found.lang").isNotNull())
-    return found.select(*[F.col("document")[name].alias(name) for name in docs.columns])
+    samples = learned_samples(docs, **sample)
+    first = next(samples, None)
+    if first is None:
+        kept = rows.where(_lettered(F.col("text")))
+    else:
+        kept = _parsed(rows, chain([first], samples)).where(F.col("found.lang").isNotNull())
+    return kept.select(*[F.col("document")[name].alias(name) for name in docs.columns])

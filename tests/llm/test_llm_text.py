@@ -367,3 +367,10 @@ def test_tables_do_not_grow_with_letters():
     assert parser._table.size < 100 * 2 * 3000
     text = parser._symbols(samples["a"][0][100:400])
     assert parser.phrases([text])[0].tolist() == [1]
+
+
+def test_unlabelled_and_foreign_texts_stay(spark):
+    rows = [(1, "some words", None), (2, "12 ?!", None), (3, None, None), (4, "слово", None)]
+    assert sorted(r.doc_id for r in language.with_language(brute.documents(spark, rows)).collect()) == [1, 4]
+    known = [(i, "the words of a text", "en") for i in range(10, 20)]
+    assert {1, 4} <= {r.doc_id for r in language.with_language(brute.documents(spark, rows + known)).collect()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import language, licenses, lines, mixture, neighbours, overlap, packing, passages, topk, urls
+from corpuskit.llm import language, licenses, lines, mixture, negatives, neighbours, overlap, packing, passages, token_files, topk, urls
 from corpuskit.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,18 @@ ORACLE["op3_near_line_dedup"] = lines.LINES_SQL
 def op5_license_scan(spark, sf_dir):
     """Licence notices and texts in all documents, with coverage and spans."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_elias_fano_tokens(spark, sf_dir):
+    """Every document's place and checksum in binary token files, written and read back."""
+    return token_files.token_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_tree_bound_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector for each of its five nearest of the same label."""
+    return negatives.hard_negatives(negatives.shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
+ORACLE["op12_tree_bound_negatives"] = negatives.NEGATIVES_SQL

@@ -41,6 +41,19 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(dtype, copy=False)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of all rows of whole numbers, exact, in the cheapest arithmetic that holds them; cut to 64 bits."""
+    bound = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if bound < 2**24:
+        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
+    if bound < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if bound < 2**62 and max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 2**53:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = [np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape) for m in (a, b)]
+    return np.clip(whole[0] @ whole[1].T, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+
+
 def best(scores: np.ndarray, k: int) -> np.ndarray:
     """Mask of the ``k`` largest entries of every row; of equal ones the leftmost."""
     width = scores.shape[1]

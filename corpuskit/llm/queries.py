@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import language, licenses, lines, mixture, negatives, neighbours, overlap, packing, passages, token_files, topk, urls
+from corpuskit.llm import alignment, language, licenses, lines, mixture, negatives, neighbours, overlap, packing, passages, token_files, topk, urls
 from corpuskit.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,9 @@ def op12_tree_bound_negatives(spark, sf_dir):
 
 
 ORACLE["op12_tree_bound_negatives"] = negatives.NEGATIVES_SQL
+
+
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    """Two tokenizations of every document against each other, with the corpus-wide counts of linked ids."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))

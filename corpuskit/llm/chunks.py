@@ -2,23 +2,26 @@
 
 A chunk begins at a text's start and at every blank (U+0020) that follows a character surely not white space, unless the
 blank ends its text. Pre-tokenizers that split between a word and the blank after it, and pieces that hold no blank
-behind another character, see nothing across such a place.
+behind another character, see nothing across such a place. For pre-tokenizers that also split between letters, digits and
+other characters, chunks are cut between ASCII characters of different kinds; apostrophes, as in contractions, and bars,
+as in the names of special tokens, are never cut off.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
-from corpuskit.llm.words import raw_bytes
+from corpuskit.llm.words import lowered, raw_bytes
 
 T = TypeVar("T")
 
 # Chunks that a task remembers at a time, and bytes of the longest one that it does.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 18
 _REMEMBERED_BYTES = 64
 
 # Second last bytes of the white space beyond ASCII; a few other characters share them and are taken for it.
@@ -26,7 +29,33 @@ _DOUBTFUL = np.zeros(256, bool)
 _DOUBTFUL[[0xC2, 0x9A, 0x80, 0x81]] = True
 
 
-def chunk_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _kinds(digit: int, space: int) -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F] = 1
+    kinds[[0x27, 0x7C]] = 0
+    kinds[0x30:0x3A] = digit
+    kinds[0x41:0x5B] = kinds[0x61:0x7B] = 2
+    kinds[[0x20, *range(0x09, 0x0E)]] = space
+    return kinds
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Where a tokenizer surely splits.
+
+    ``kinds`` of bytes: 0 is never cut off, a byte of kind 9 stands alone. With ``lower`` the tokenizer lower-cases, so
+    chunks are too, unless a text may hold the name of a special token.
+    """
+
+    kinds: np.ndarray
+    lower: bool = False
+
+
+# Byte-level words with the blank before them; lower-cased words, single digits, no white space.
+BYTE_LEVEL, WORD_LEVEL = Cuts(_kinds(3, 0)), Cuts(_kinds(9, 4), lower=True)
+
+
+def chunk_starts(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
     """First bytes of all chunks of texts that lie end to end between ``bounds``."""
     first = np.zeros(len(data) + 2, bool)
     if len(data):
@@ -35,15 +64,21 @@ def chunk_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         wide = np.flatnonzero(blank & (last >= 0x80))
         first[wide + 1] = ~_DOUBTFUL[data[np.maximum(wide - 1, 0)]]
     first[bounds[1:] - 1] = False
+    if len(data) and kinds is not None:
+        kind = kinds[data]
+        before, after = kind[:-1], kind[1:]
+        first[1:-2] |= (before > 0) & (after > 0) & ((before != after) | (after == 9))
     first[bounds] = True
     return np.flatnonzero(first[: len(data)])
 
 
-def distinct_chunks(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_chunks(texts: pa.Array, cuts: Cuts | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """``(distinct, places, bounds)``: text ``i`` is the chunks ``distinct[p]`` for ``places[bounds[i]:bounds[i + 1]]``."""
     data, offsets = raw_bytes(texts)
     data = np.ascontiguousarray(data)
-    starts = chunk_starts(data, offsets)
+    if cuts is not None and cuts.lower and b"<|" not in data.tobytes():
+        data = lowered(data)
+    starts = chunk_starts(data, offsets, None if cuts is None else cuts.kinds)
     edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
     listed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, edges, pa.py_buffer(data)])
     coded = listed.dictionary_encode()
@@ -84,9 +119,9 @@ class Memory:
         return found
 
 
-def encoded(texts: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, memory: Memory, cuts: Cuts | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and where each begins; ``memory`` holds little-endian 32-bit ids as bytes."""
-    distinct, places, bounds = distinct_chunks(texts)
+    distinct, places, bounds = distinct_chunks(texts, cuts)
     values = memory.values(distinct)
     sizes = np.array([len(v) // 4 for v in values], np.int64)
     ids = np.frombuffer(b"".join([values[p] for p in places.tolist()]), "<u4")

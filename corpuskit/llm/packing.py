@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpuskit.llm.chunks import BYTE_LEVEL, Memory, encoded
 from corpuskit.llm.words import slices
 from corpuskit.session import write_stage
 
@@ -22,6 +24,8 @@ LENGTH = 2048
 END_ID = 0
 # Pieces packed together by one task.
 GROUP_PIECES = 4096
+# Chunks that a task remembers the ids of.
+REMEMBERED = 1 << 17
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,14 +39,17 @@ _PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary as little-endian 32-bit integers; special strings are ordinary text.
+    """Ids of a byte-level BPE vocabulary as little-endian 32-bit integers, by ``tokenizers`` without special tokens.
 
-    ``vocabulary`` is read by ``tokenizers`` and settles the ids. ``ranks`` is the same vocabulary for ``tiktoken``,
-    which gives the same ids several times faster; it is used for Latin text without very long runs.
+    ``vocabulary`` is read by ``tokenizers`` and settles the ids; strings of its added tokens in a text are those tokens.
+    ``ranks`` is the same vocabulary for ``tiktoken``, which gives the same ids several times faster; it is used for Latin
+    text without added tokens and very long runs.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS):
         self._vocabulary, self._slow, self._fast = vocabulary, None, None
+        with open(vocabulary, encoding="utf-8") as file:
+            self._added = [token["content"] for token in json.load(file)["added_tokens"]]
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
@@ -51,21 +58,16 @@ class Encoder:
             )
 
     def ids(self, text: str) -> np.ndarray:
-        if self._fast is not None and _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
+        plain = self._fast is not None and _PLAIN.fullmatch(text) and not _LONG_RUN.search(text)
+        if plain and not any(token in text for token in self._added):
             return np.array(self._fast.encode_ordinary(text), "<u4")
         if self._slow is None:
             self._slow = Tokenizer.from_file(self._vocabulary)
-            self._slow.encode_special_tokens = True
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4")
 
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def _encoder(*paths) -> Encoder:
-    if paths not in _ENCODERS:
-        _ENCODERS[paths] = Encoder(*paths)
-    return _ENCODERS[paths]
+    def memory(self) -> Memory:
+        """Ids of chunks of texts as bytes; see ``chunks``."""
+        return Memory(lambda chunks: [self.ids(chunk).tobytes() for chunk in chunks], REMEMBERED)
 
 
 def cut_points(total: int, length: int) -> list[int]:
@@ -85,12 +87,13 @@ def pieces(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, ranks)
+        memory, closing = Encoder(vocabulary, ranks).memory(), np.array([END_ID], "<u4")
         slot = TaskContext.get().partitionId() << 40
         for part in (x for batch in batches for x in slices(batch)):
             rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = np.append(encoder.ids(text or ""), np.array([END_ID], "<u4")).astype("<u4")
+            every, bounds = encoded(part.column(1), memory, BYTE_LEVEL)
+            for i, doc_id in enumerate(part.column(0).to_pylist()):
+                ids = np.concatenate([every[bounds[i] : bounds[i + 1]], closing])
                 points = cut_points(len(ids), length)
                 for piece, (begin, end) in enumerate(zip(points, points[1:])):
                     rows.append((doc_id, piece, begin, end - begin, ids[begin:end].tobytes(), slot))

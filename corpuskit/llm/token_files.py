@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuskit.llm.chunks import Memory, encoded
+from corpuskit.llm.chunks import WORD_LEVEL, Cuts, Memory, encoded
 from corpuskit.llm.elias_fano import EliasFano
 from corpuskit.llm.words import slices
 from corpuskit.session import scratch_path
@@ -171,6 +171,7 @@ def write_tokens(
     end_id: int = END_ID,
     file_ids: int = FILE_IDS,
     task_bytes: int = TASK_BYTES,
+    cuts: Cuts | None = WORD_LEVEL,
 ) -> None:
     """Encode every whole text, add ``end_id`` and write the files in ascending order of ``doc_id`` to a new folder.
 
@@ -178,7 +179,8 @@ def write_tokens(
     ``file_ids`` ids; a document is never split. Rows that repeat an id are documents of their own, in order of a hash of
     their text, and may lie in several files. Null ids come first, a null text is empty, and no rows give an empty
     manifest. Strings of special tokens in a text are encoded as the tokenizer does by default. ``path`` is on a file
-    system shared by all executors.
+    system shared by all executors. ``cuts`` says where the vocabulary's pre-tokenizer surely splits (see ``chunks``);
+    None stands for blanks alone.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -201,15 +203,15 @@ def write_tokens(
         writer = TokenWriter(folder, f"part-{part:06d}-{task.taskAttemptId()}", width, file_ids)
         end = np.array([end_id], "<u4")
         for batch in (x for b in batches for x in slices(b)):
-            ids, bounds = encoded(batch.column(1), memory)
+            ids, bounds = encoded(batch.column(1), memory, cuts)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 writer.add(doc_id, np.concatenate([ids[bounds[i] : bounds[i + 1]], end]))
         writer.close()
         rows = [(part, *row) for row in writer.closed]
         columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
         names = ["part", "file", "name", "docs", "ids"]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     sorted_rows.mapInArrow(write, _MANIFEST).write.parquet(f"{path}/manifest")
 

@@ -61,6 +61,11 @@ class Words:
         return [raw[a:b].tobytes() for a, b in zip(self.starts[pick].tolist(), self.ends[pick].tolist())]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offset of every text in them; null counts as empty."""
     if texts.null_count:

@@ -261,7 +261,6 @@ def test_mix_equals_sql(spark):
 
 def test_packing_round_trip(spark):
     slow = Tokenizer.from_file(packing.VOCABULARY)
-    slow.encode_special_tokens = True
     docs = [(r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect()]
     docs += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "word " * 9000), (None, "x"), (7777, "twice"), (7777, "twice")]
     docs += [(10**6 + 3, "你好 " * 50 + "z" * 3000 + " " * 900 + "<|endoftext|>"), (10**6 + 4, "a" * 5000)]

@@ -81,27 +81,50 @@ def encoders():
     word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return [lambda t, k=k: k.encode(t, add_special_tokens=False).ids for k in (word, byte)], (
-        token_files.VOCABULARY,
-        packing.VOCABULARY,
+        (token_files.VOCABULARY, chunks.WORD_LEVEL),
+        (packing.VOCABULARY, chunks.BYTE_LEVEL),
     )
 
 
 def test_chunks_encode_as_whole_texts(spark):
     texts = [t for t in ODD_TEXTS if t] + [r.text for r in whole_table(spark).collect()]
-    for slow, vocabulary in zip(*encoders()):
-        ids, bounds = chunks.encoded(pa.array(texts, pa.string()), token_files.chunk_memory(vocabulary))
-        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [slow(t) for t in texts]
+    for slow, (vocabulary, cuts) in zip(*encoders()):
+        for cut in (cuts, None):
+            ids, bounds = chunks.encoded(pa.array(texts, pa.string()), token_files.chunk_memory(vocabulary), cut)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [slow(t) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab '1.\n\t  　é日😁s<|endoftext|>"), max_size=30), max_size=4))
 def test_chunks_of_any_text(texts):
-    for slow, memory in _MEMORIES:
-        ids, bounds = chunks.encoded(pa.array(texts, pa.string()), memory)
-        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [slow(t) for t in texts]
+    for slow, memory, cuts in _MEMORIES:
+        for cut in (cuts, None):
+            ids, bounds = chunks.encoded(pa.array(texts, pa.string()), memory, cut)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [slow(t) for t in texts]
 
 
-_MEMORIES = [(slow, token_files.chunk_memory(v)) for slow, v in zip(*encoders())]
+_MEMORIES = [(slow, token_files.chunk_memory(v), cuts) for slow, (v, cuts) in zip(*encoders())]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*"ab '12.\n\t é😁", "'s", "<|endoftext|>", "the", "\u0301", "z" * 401]), max_size=20).map("".join))
+def test_packing_ids_are_those_of_the_plain_call(text):
+    assert _ENCODER.ids(text).tolist() == _PLAIN.encode(text, add_special_tokens=False).ids
+
+
+_ENCODER, _PLAIN = packing.Encoder(), Tokenizer.from_file(packing.VOCABULARY)
+
+
+def test_packed_pieces_have_the_ids_of_the_plain_call(spark):
+    rows, docs = odd_documents(spark)
+    wanted = Counter()
+    for doc_id, text in rows:
+        ids = np.array(_PLAIN.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        points = packing.cut_points(len(ids), 64)
+        for piece, (a, b) in enumerate(zip(points, points[1:])):
+            wanted[doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    found = packing.pack_documents(docs, length=64).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == wanted
 
 
 def test_a_small_memory_gives_the_same_values():
@@ -246,14 +269,19 @@ def test_alignment_of_the_whole_table(spark):
     assert alignment.aligned(whole_table(spark).limit(0)).count() == 0
 
 
-def test_spans_and_decoded_bytes_agree():
+def test_chunks_are_aligned_alike_alone_and_together():
     aligner = alignment.Aligner()
     assert aligner.separable
-    for text in [" plain words", " é€ 😁𐍈𐍈", " 日本語 x"]:
-        n_a, n_b, links, groups = aligner.align([text])[0]
-        assert [i for a, _ in groups for i in a] == aligner._first.encode(text, add_special_tokens=False).ids
-        assert [i for _, b in groups for i in b] == aligner._second.encode(text[1:])
-        assert all(b"".join(aligner._first_bytes[i] for i in a) == b"".join(aligner._second_bytes[i] for i in b) for a, b in groups)
+    texts = [" plain words", " é€ 😁𐍈𐍈", " 日本語 x", " ▁", " a\n", " b", "  c", " \x00z", " ▁ y"]
+    together = aligner.values(texts)
+    assert together == [aligner.values([t])[0] for t in texts] and [v is False for v in together].count(True) == 2
+    for text, value in zip(texts, together):
+        if value:
+            groups = [[list(map(int, side.split(","))) for side in g.split("|")] for g in value.shown.split(";")]
+            assert [i for a, _ in groups for i in a] == aligner._first.encode(text, add_special_tokens=False).ids
+            assert [i for _, b in groups for i in b] == aligner._second.encode(text[1:])
+            for a, b in groups:
+                assert b"".join(aligner.first_bytes[i] for i in a) == b"".join(aligner.second_bytes[i] for i in b)
 
 
 @settings(max_examples=200, deadline=None)
@@ -261,12 +289,18 @@ def test_spans_and_decoded_bytes_agree():
 def test_links_are_overlaps(a, b):
     a[-1] += max(0, sum(b) - sum(a))
     b[-1] += max(0, sum(a) - sum(b))
-    a_ends, b_ends = np.cumsum(a).tolist(), np.cumsum(b).tolist()
-    links, groups = alignment.matched(range(len(a)), a_ends, range(len(b)), b_ends)
+    a_ends, b_ends = np.cumsum(a), np.cumsum(b)
+    i, j, _, common = alignment.links_of(a_ends, b_ends)
     over = [
         (i, j)
         for i in range(len(a))
         for j in range(len(b))
         if max(a_ends[i] - a[i], b_ends[j] - b[j]) < min(a_ends[i], b_ends[j])
     ]
-    assert sorted(links) == over and len(groups) == len(set(a_ends) & set(b_ends))
+    assert list(zip(i.tolist(), j.tolist())) == over and common.sum() == len(set(a_ends.tolist()) & set(b_ends.tolist()))
+
+
+def test_spans_that_share_a_character_end_by_decoded_bytes():
+    # One character of three bytes in three tokens, each with the whole character as its span, and a letter.
+    starts, ends, sizes = np.array([0, 0, 0, 3]), np.array([3, 3, 3, 4]), np.array([1, 1, 1, 1])
+    assert alignment.token_ends(starts, ends, sizes).tolist() == [1, 2, 3, 4]

@@ -17,7 +17,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A batch holds whole texts, so it is bounded by rows and, where the Spark version knows the setting, by bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

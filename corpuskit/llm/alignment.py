@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from corpuskit.llm.chunks import Memory, distinct_chunks
+from corpuskit.llm.chunks import Memory, distinct_chunks, kept
 from corpuskit.llm.words import raw_bytes, slices
 from corpuskit.session import write_stage
 
@@ -192,7 +192,7 @@ class _Slices:
     """Texts of Arrow batches as chunks with their values; texts that are aligned whole are chunks of their own."""
 
     def __init__(self, aligner: Aligner):
-        self._aligner = aligner
+        self.aligner = aligner
         self._memory = Memory(aligner.values, REMEMBERED)
 
     def __call__(self, texts: pa.Array) -> tuple[list[Aligned], np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ class _Slices:
         it has no tokens."""
         filled = texts.fill_null("")
         led = pc.binary_join_element_wise(pa.scalar(" ", filled.type), filled, pa.scalar("", filled.type))
-        if self._aligner.separable:
+        if self.aligner.separable:
             distinct, places, bounds = distinct_chunks(led)
         else:
             distinct = [t.encode() for t in led.to_pylist()]
@@ -217,7 +217,7 @@ class _Slices:
             if empty[i]:
                 part = part[:0]
             elif broken[i]:
-                one = self._aligner.values([led[i].as_py()])[0] if len(part) > 1 else False
+                one = self.aligner.values([led[i].as_py()])[0] if len(part) > 1 else False
                 part = np.array([len(values)] if one else [], np.int64)
                 values = [*values, one] if one else values
             parts.append(part)
@@ -239,8 +239,8 @@ def _pairs(links: bytes, kind: np.dtype) -> np.ndarray:
 
 def _tokenized(batches: Iterator[pa.RecordBatch], byte_level: str, pieces: str) -> Iterator[pa.RecordBatch]:
     """A row for every text, and rows with the counts of the task's pairs."""
-    aligner = Aligner(byte_level, pieces)
-    read = _Slices(aligner)
+    read = kept("alignment", (byte_level, pieces), lambda: _Slices(Aligner(byte_level, pieces)))
+    aligner = read.aligner
     held, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     row = TaskContext.get().partitionId() << 40
 

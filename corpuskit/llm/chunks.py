@@ -9,7 +9,9 @@ as in the names of special tokens, are never cut off.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+import types
+from collections.abc import Callable, Hashable, Sequence
 from dataclasses import dataclass
 from typing import TypeVar
 
@@ -29,6 +31,18 @@ _DOUBTFUL = np.zeros(256, bool)
 _DOUBTFUL[[0xC2, 0x9A, 0x80, 0x81]] = True
 
 
+def kept(name: str, key: Hashable, make: Callable[[], T]) -> T:
+    """A value that this worker process holds from task to task, one for a name; another ``key`` replaces it.
+
+    Functions are sent with their globals, so these last for one task only.
+    """
+    held = sys.modules.setdefault("_corpuskit_kept", types.ModuleType("_corpuskit_kept")).__dict__
+    if name not in held or held[name][0] != key:
+        held.pop(name, None)
+        held[name] = (key, make())
+    return held[name][1]
+
+
 def _kinds(digit: int, space: int) -> np.ndarray:
     kinds = np.zeros(256, np.uint8)
     kinds[0x21:0x7F] = 1

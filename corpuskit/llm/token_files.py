@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuskit.llm.chunks import WORD_LEVEL, Cuts, Memory, encoded
+from corpuskit.llm.chunks import WORD_LEVEL, Cuts, Memory, encoded, kept
 from corpuskit.llm.elias_fano import EliasFano
 from corpuskit.llm.words import slices
 from corpuskit.session import scratch_path
@@ -198,7 +198,8 @@ def write_tokens(
     folder = f"{path}/data"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, task = chunk_memory(vocabulary), TaskContext.get()
+        memory = kept("token_files", (vocabulary, cuts is None), lambda: chunk_memory(vocabulary))
+        task = TaskContext.get()
         part = task.partitionId()
         writer = TokenWriter(folder, f"part-{part:06d}-{task.taskAttemptId()}", width, file_ids)
         end = np.array([end_id], "<u4")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import sequences
-from corpuskit.operators.ranking import global_rank
+from corpuskit.operators.ranking import exact_quantiles, global_rank
 
 
 def segment(
@@ -78,3 +78,13 @@ def length_stats(df: DataFrame, ids: str = "ids") -> DataFrame:
         F.avg(size).alias("mean_len"),
         F.avg(size).cast("bigint").alias("mean_len_int"),
     )
+
+
+def length_quantiles(df: DataFrame, quantiles=(0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0), ids: str = "ids") -> DataFrame:
+    """``(quantile, length)``: exact discrete quantiles of the sequence lengths; null where there are no rows.
+
+    Jobs run while the result is planned.
+    """
+    found = exact_quantiles(df, F.when(F.col(ids).isNotNull(), F.size(ids)), quantiles)
+    rows = [(float(q), length) for q, length in zip(quantiles, found)]
+    return df.sparkSession.createDataFrame(rows, "quantile double, length int")

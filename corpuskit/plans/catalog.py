@@ -449,6 +449,11 @@ def length_stats(spark, sf_dir):
     return stats.withColumn("mean_len", F.round("mean_len", 6))
 
 
+@query
+def length_quantiles(spark, sf_dir):
+    return windows.length_quantiles(encoded(spark, sf_dir))
+
+
 @query
 def training_windows(spark, sf_dir):
     """Documents to labelled windows: windows, ids and documents per side."""
@@ -538,6 +543,13 @@ def cross_entropy_by_document(spark, sf_dir):
     return _rounded(ngrams.cross_entropy(test, bigrams, 0.5, VOCAB, by=["doc_id"]))
 
 
+@query
+def cross_entropy_backoff(spark, sf_dir):
+    """Held-out documents under the discounted model of the others, which backs off to the contexts of a token."""
+    bigrams, test = _held_out(spark, sf_dir)
+    return _rounded(ngrams.cross_entropy_backoff(test, bigrams, VOCAB, by=["doc_id"]))
+
+
 @query
 def fit_skipgram(spark, sf_dir):
     """Loss of three skip-gram steps over the 200 commonest words, fitted on all pairs."""

@@ -114,6 +114,15 @@ held AS (SELECT doc_id, a, b, count(*) AS m FROM pairs WHERE is_test AND b <> 4
 scored AS (SELECT doc_id, m, -ln((coalesce(n, 0) + 0.5::double) / (coalesce(t, 0) + 0.5::double * {VOCAB})) AS loss
            FROM held LEFT JOIN bi USING (a, b) LEFT JOIN tot USING (a))"""
 
+# Discounted counts, and below them the number of contexts of a token, discounted likewise, and all tokens alike.
+_BACKOFF = f"""{_HELD_OUT},
+ctx AS (SELECT a, sum(n) AS t, 0.75::double * count(*) / sum(n) AS spare FROM bi GROUP BY a),
+kinds AS (SELECT b, count(*) AS k FROM bi GROUP BY b),
+every AS (SELECT sum(k)::double AS pairs, 0.75::double * count(*) / sum(k) / {VOCAB} AS unseen FROM kinds),
+backed AS (SELECT doc_id, m, -ln(greatest(coalesce(n, 0) - 0.75::double, 0) / coalesce(t, 1)
+             + coalesce(spare, 1) * (coalesce((k - 0.75::double) / pairs, 0) + unseen)) AS loss
+           FROM held LEFT JOIN bi USING (a, b) LEFT JOIN ctx USING (a) LEFT JOIN kinds USING (b), every)"""
+
 _UNIT = """unit AS (SELECT vec_id::int AS id,
   list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS vec
   FROM embeddings)"""
@@ -347,6 +356,9 @@ ORACLE: dict[str, str] = {
         SELECT count(*) AS n_rows, trunc(avg(len(ids)))::bigint AS mean_tokens FROM enc JOIN batch USING (doc_id)""",
     "length_stats": f"""WITH RECURSIVE {_ENCODED} SELECT count(*) AS n_rows, min(len(ids))::int AS min_len, max(len(ids))::int AS max_len,
         round(avg(len(ids)), 6) AS mean_len, trunc(avg(len(ids)))::bigint AS mean_len_int FROM enc""",
+    "length_quantiles": f"""WITH RECURSIVE {_ENCODED}, q AS (SELECT [0, 0.25, 0.5, 0.75, 0.9, 0.99, 1]::double[] AS qs)
+        SELECT unnest(qs) AS quantile, unnest((SELECT quantile_disc(len(ids)::int, [0, 0.25, 0.5, 0.75, 0.9, 0.99, 1]::double[])
+          FROM enc)) AS length FROM q""",
     "training_windows": f"""WITH RECURSIVE {_ENCODED}, {_SEGMENTS.format(c=512, s=507)},
         {_SPLIT_COUNTS.format(h=_hash("doc_id || ':' || k"), rows="seg")}""",
     "training_tails": f"""WITH RECURSIVE {_ENCODED}, last AS (SELECT doc_id, ids[-512:] AS ids FROM enc),
@@ -376,6 +388,8 @@ ORACLE: dict[str, str] = {
         round(sum(m * loss) / sum(m), 6) AS cross_entropy FROM scored""",
     "cross_entropy_by_document": f"""WITH RECURSIVE {_HELD_OUT} SELECT doc_id, sum(m)::bigint AS n_labels,
         round(sum(m * loss) / sum(m), 6) AS cross_entropy FROM scored GROUP BY doc_id""",
+    "cross_entropy_backoff": f"""WITH RECURSIVE {_BACKOFF} SELECT doc_id, sum(m)::bigint AS n_labels,
+        round(sum(m * loss) / sum(m), 6) AS cross_entropy FROM backed GROUP BY doc_id""",
     "fit_skipgram": f"WITH RECURSIVE {_FIT_IDS}, "
     + _fit(
         """ex AS MATERIALIZED (SELECT [a] AS ctx, b AS target, count(*) AS n FROM (SELECT ids[i] AS a, ids[i + 1] AS b

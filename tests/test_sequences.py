@@ -1,9 +1,11 @@
+import duckdb
 import models
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions import sequences
-from corpuskit.operators import windows
+from corpuskit.operators import ranking, windows
 
 LENGTHS = [0, 1, 2, 3, 4, 5, 6, 15, 16, 17, 31, 32, 511, 512, 513, 1014, 1015, 1016, 1018, 1019, 1020, 1526, 2033]
 
@@ -104,3 +106,18 @@ def test_length_stats(rows):
     row = windows.length_stats(rows).first()
     assert (row.n_rows, row.min_len, row.max_len) == (len(LENGTHS), 0, max(LENGTHS))
     assert row.mean_len_int == int(sum(LENGTHS) / len(LENGTHS))
+
+
+def test_quantiles_without_sorting_equal_sorted_ones(spark):
+    rng = np.random.default_rng(8)
+    asked = [0.0, 0.001, 0.25, 0.5, 0.7, 0.99, 1.0]
+    for values in ([5], [0, 2**31 - 1], [7] * 900 + rng.integers(0, 9, 300).tolist(), rng.integers(0, 2**31, 3000).tolist()):
+        df = spark.createDataFrame([(int(v),) for v in values] + [(None,)], "v bigint")
+        numbers = df.toArrow()  # read by name below
+        want = duckdb.sql(f"select quantile_disc(v, {asked}::double[]) from numbers").fetchall()[0][0]
+        assert ranking.exact_quantiles(df, F.col("v"), asked) == want
+    assert ranking.exact_quantiles(df.limit(0), F.col("v"), asked) == [None] * 7
+    with pytest.raises(ValueError):
+        ranking.exact_quantiles(spark.createDataFrame([(-1,)], "v int"), F.col("v"), [0.5])
+    rows = spark.createDataFrame([([1] * n,) for n in (3, 0, 9)] + [(None,)], "ids array<int>")
+    assert [r.length for r in windows.length_quantiles(rows, (0.0, 0.5, 1.0)).collect()] == [0, 3, 9]

@@ -81,7 +81,7 @@ def _assigned(batches: Iterator[pa.RecordBatch], one: np.ndarray, two: np.ndarra
         if batch.num_rows:
             rows = toplists.matrix(batch.column(1))
             cells = [pa.array(nearest(part, c).astype(np.int32)) for part, c in ((rows[:, :half], one), (rows[:, half:], two))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *cells], ["id", "vec", "one", "two"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *cells, batch.column(2)], ["id", "vec", "one", "two", "row"])
 
 
 def _asking(
@@ -113,12 +113,20 @@ def _reranked(key, entries: pa.Table, asked: pa.Table, k: int) -> pa.Table:
         return empty
     entries = entries.sort_by("id")
     ids, query_ids = entries["id"].to_numpy(), asked["query_id"].to_numpy()
-    scores = toplists.matrix(asked["query_vec"]) @ toplists.matrix(entries["vec"]).T
+    query_vecs, vecs = toplists.matrix(asked["query_vec"]), toplists.matrix(entries["vec"])
+    scores = query_vecs @ vecs.T
     masks = asked["mask"].to_numpy().astype(np.int64).view(np.uint64)
     seen = (masks[:, None] >> entries["two"].to_numpy().astype(np.uint64)[None, :]) & np.uint64(1) != 0
-    seen &= query_ids[:, None] != ids[None, :]
+    seen &= query_ids[:, None] != entries["row"].to_numpy()[None, :]
     scores[~seen] = -np.inf
-    picked = toplists.best(scores, k) & seen
+    # A matrix product may give equal rows scores that differ in the last digits: near ones stay and are scored alike.
+    if scores.shape[1] > k:
+        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        picked = seen & (scores >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None])
+    else:
+        picked = seen
+    at, column = np.nonzero(picked)
+    scores[at, column] = np.einsum("ij,ij->i", query_vecs[at], vecs[column])
     some = picked.any(axis=1)
     part = np.full(int(some.sum()), entries["part"][0].as_py(), np.int32)
     return pa.table(
@@ -152,7 +160,7 @@ def nearest_neighbours(
 
     Queries are the rows that ``queries`` (a condition on ``id``) holds for, by default ids divisible by 20. Null ids,
     null, empty or zero vectors, and vectors with null or non-finite components take no part; vectors of another length
-    than the commonest neither. Of rows with the same id the smallest vector counts. No rows give no rows; other
+    than the commonest neither. Rows that repeat an id are rows of their own, as queries too. No rows give no rows; other
     columns are ignored. Jobs run while the result is planned.
     """
     if not 1 <= centroids <= 64:
@@ -163,7 +171,7 @@ def nearest_neighbours(
     vectors = vectors.where(F.size("vec") == dim)
     spark = df.sparkSession
     if not rows:
-        return toplists.ranked(spark.createDataFrame([], "query_id bigint, top array<struct<neg: double, id: bigint>>"))
+        return toplists.ranked(spark.createDataFrame([], "query_id bigint, top array<struct<neg: double, id: bigint>>"), vectors)
     drawn = min(1.0, sample_rows / rows)
     sample = vectors.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) <= int(drawn * (1 << 30)))
     fitted = toplists.matrix(sample.select("vec").toArrow()["vec"]) if sample.head() else np.zeros((0, dim))
@@ -173,8 +181,8 @@ def nearest_neighbours(
     one = fit_centres(fitted[:, :half], centroids)
     two = fit_centres(fitted[:, half:], centroids) if dim > half else np.zeros((1, 0))
 
-    placed = vectors.select("id", "vec").mapInArrow(
-        lambda batches: _assigned(batches, one, two), "id bigint, vec array<double>, one int, two int"
+    placed = vectors.select("id", "vec", "row").mapInArrow(
+        lambda batches: _assigned(batches, one, two), "id bigint, vec array<double>, one int, two int, row bigint"
     )
     placed = write_stage(placed, "cells").df
     held = np.zeros((len(one), len(two)), np.int64)
@@ -182,8 +190,8 @@ def nearest_neighbours(
         held[cell["one"], cell["two"]] = cell["count"]
     wanted = max(candidates, math.ceil(share * rows))
 
-    asked = vectors.where(queries).select("id", "vec")
-    asking = asked.mapInArrow(
+    asked = vectors.where(queries)
+    asking = asked.select("row", "vec").mapInArrow(
         lambda batches: _asking(batches, one, two, held, wanted),
         "query_id bigint, query_vec array<double>, one int, mask bigint",
     )
@@ -196,9 +204,10 @@ def nearest_neighbours(
     first_part = F.element_at(first_parts, F.col("one") + 1)
     entries = placed.select(
         "id",
+        "row",
         "vec",
         "two",
-        (first_part + F.pmod(F.xxhash64("id"), n_parts)).cast("int").alias("part"),
+        (first_part + F.pmod(F.xxhash64("row"), n_parts)).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"),
     )
     spread = asking.select(
@@ -213,4 +222,4 @@ def nearest_neighbours(
         .cogroup(spread.groupBy("part", "asked"))
         .applyInArrow(lambda key, left, right: _reranked(key, left, right, k), _TOPS)
     )
-    return toplists.ranked(toplists.merged(tops, int(starts[-1]), k))
+    return toplists.ranked(toplists.merged(tops, int(starts[-1]), k), asked)

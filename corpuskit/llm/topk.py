@@ -17,52 +17,53 @@ SCALE = 64
 TOP = 20
 SHARD_ROWS = 1024
 QUERY_ROWS = 256
-_LARGEST = float(2**31 - 1)
+_NARROW = float(2**31)
 
-_BLOCK = "block int, ids binary, vecs binary"
+_BLOCK = "block int, ids binary, vecs binary, vec_bytes int"
 _TOPS = "query_id bigint, part int, top array<struct<neg: bigint, id: bigint>>"
 
 
 def _packed(group: pa.Table) -> pa.Table:
-    """One block: its ids in order and its matrix of 32-bit integers, as bytes."""
-    group = group.sort_by("id")
-    ids = group["id"].to_numpy().astype("<i8")
-    vecs = toplists.matrix(group["q"], np.dtype("<i4"))
+    """One block: its ids and row numbers in order and its matrix of whole numbers, in 4 bytes each where they fit."""
+    group = group.sort_by([("id", "ascending"), ("row", "ascending")])
+    ids = np.stack([group["id"].to_numpy(), group["row"].to_numpy()]).astype("<i8")
+    vecs = toplists.matrix(group["q"])
+    narrow = float(np.abs(vecs).max(initial=0)) < _NARROW
     block = group["block"][0].as_py()
-    return pa.table({"block": pa.array([block], pa.int32()), "ids": [ids.tobytes()], "vecs": [vecs.tobytes()]})
+    return pa.table(
+        {
+            "block": pa.array([block], pa.int32()),
+            "ids": [ids.tobytes()],
+            "vecs": [vecs.astype("<i4" if narrow else "<f8").tobytes()],
+            "vec_bytes": pa.array([4 if narrow else 8], pa.int32()),
+        }
+    )
 
 
-def _blocks(vectors: DataFrame, count: int) -> DataFrame:
-    """Rows dealt evenly by their id over ``count`` blocks, each packed to one row."""
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(_packed, _BLOCK)
+def _matrix(vecs: bytes, size: int, dim: int) -> np.ndarray:
+    return np.frombuffer(vecs, "<i4" if size == 4 else "<f8").reshape(-1, dim)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows, in the cheapest arithmetic that holds them."""
-    bound = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
-    if bound < 2**24:
-        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
-    if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+def _blocks(vectors: DataFrame, count: int) -> DataFrame:
+    """Rows dealt evenly over ``count`` blocks, each packed to one row."""
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
+    return dealt.groupBy("block").applyInArrow(_packed, _BLOCK)
 
 
 def _tile(batches: Iterator[pa.RecordBatch], k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    names = ("part", "ids", "vecs", "query_ids", "query_vecs")
+    names = ("part", "ids", "vecs", "vec_bytes", "query_ids", "query_vecs", "query_bytes")
     for batch in batches:
-        for part, ids, vecs, query_ids, query_vecs in zip(*(batch.column(n).to_pylist() for n in names)):
-            ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
-            scores = products(
-                np.frombuffer(query_vecs, "<i4").reshape(-1, dim), np.frombuffer(vecs, "<i4").reshape(-1, dim)
-            )
-            own = query_ids[:, None] == ids[None, :]
+        for part, ids, vecs, size, query_ids, query_vecs, query_size in zip(*(batch.column(n).to_pylist() for n in names)):
+            ids, rows = np.frombuffer(ids, "<i8").reshape(2, -1)
+            query_rows = np.frombuffer(query_ids, "<i8").reshape(2, -1)[1]
+            scores = toplists.products(_matrix(query_vecs, query_size, dim), _matrix(vecs, size, dim))
+            own = query_rows[:, None] == rows[None, :]
             scores[own] = np.iinfo(np.int64).min
             picked = toplists.best(scores, k) & ~own
             yield pa.record_batch(
                 [
-                    pa.array(query_ids, pa.int64()),
-                    pa.array(np.full(len(query_ids), part, np.int32)),
+                    pa.array(query_rows, pa.int64()),
+                    pa.array(np.full(len(query_rows), part, np.int32)),
                     toplists.lists(picked, scores, ids, pa.int64()),
                 ],
                 ["query_id", "part", "top"],
@@ -85,31 +86,33 @@ def exact_top_k(
     holds for, by default ids divisible by 20. Query blocks and shards of bounded rows meet once as tiles, each a
     matrix product and a partial selection, and a query's lists are merged in a tree. Ties go to the smaller id.
 
-    Null ids, null or empty vectors, and vectors that hold null or non-finite components, or ones of 2^31 and more
-    after scaling, take no part; vectors of another length than the commonest neither. Of rows with the same id the
-    smallest vector counts. No rows give no rows; other columns are ignored. Jobs run while the result is planned.
+    Null ids, null or empty vectors, and vectors that hold null or non-finite components take no part; vectors of another
+    length than the commonest neither. Rows that repeat an id are rows of their own, as queries too. Scores beyond a long
+    are cut to its bounds. No rows give no rows; other columns are ignored. Jobs run while the result is planned.
     """
     queries = F.col("id") % 20 == 0 if queries is None else queries
     vectors = toplists.usable(df, id_column, vector_column)
-    vectors = vectors.where(~F.exists("vec", lambda x: F.abs(F.floor(x * scale)) > _LARGEST))
     vectors = write_stage(vectors, "vectors").df
     dim, rows = toplists.widest_group(vectors)
-    whole = F.transform("vec", lambda x: F.floor(x * scale).cast("int")).alias("q")
+    # floor() of Spark ends at 2^63; doubles beyond 2^53 are whole numbers.
+    small = lambda x: F.abs(x * scale) < float(1 << 53)
+    whole = F.transform("vec", lambda x: F.when(small(x), F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("q")
     vectors = vectors.where(F.size("vec") == dim)
     asked = vectors.where(queries)
     shards = max(1, math.ceil(rows / shard_rows))
     blocks = max(1, math.ceil(asked.count() / query_rows))
-    packed = write_stage(_blocks(vectors.select("id", whole), shards), "shards").df
-    asking = write_stage(_blocks(asked.select("id", whole), blocks), "queries").df
+    packed = write_stage(_blocks(vectors.select("id", "row", whole), shards), "shards").df
+    asking = write_stage(_blocks(asked.select("id", "row", whole), blocks), "queries").df
     left = packed.select(
-        F.col("block").alias("part"), "ids", "vecs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked")
+        F.col("block").alias("part"), "ids", "vecs", "vec_bytes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked")
     )
     right = asking.select(
         F.col("block").alias("asked"),
         F.col("ids").alias("query_ids"),
         F.col("vecs").alias("query_vecs"),
+        F.col("vec_bytes").alias("query_bytes"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"),
     )
-    tiles = left.join(right, ["part", "asked"]).select("part", "ids", "vecs", "query_ids", "query_vecs")
+    tiles = left.join(right, ["part", "asked"]).drop("asked")
     tops = tiles.mapInArrow(lambda batches: _tile(batches, k, dim), _TOPS)
-    return toplists.ranked(toplists.merged(tops, shards, k))
+    return toplists.ranked(toplists.merged(tops, shards, k), asked)

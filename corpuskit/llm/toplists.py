@@ -12,10 +12,10 @@ FAN_IN = 16
 
 
 def usable(df: DataFrame, id_column: str, vector_column: str, zero: bool = True) -> DataFrame:
-    """``(id, vec)`` of the rows that take part, one row per id.
+    """``(id, row, vec)`` of the rows that take part; ``row`` tells rows that repeat an id apart once it is written.
 
     Left out are null ids, null or empty vectors, vectors that hold null, NaN or an infinity and, unless ``zero``,
-    vectors of zeros only. Of several rows with one id the smallest vector counts.
+    vectors of zeros only.
     """
     vec = F.col(vector_column).cast("array<double>")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -23,7 +23,7 @@ def usable(df: DataFrame, id_column: str, vector_column: str, zero: bool = True)
     rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~bad)
     if not zero:
         rows = rows.where(F.exists("vec", lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.select("id", F.monotonically_increasing_id().alias("row"), "vec")
 
 
 def widest_group(vectors: DataFrame) -> tuple[int, int]:
@@ -91,9 +91,10 @@ def merged(tops: DataFrame, parts: int, k: int, fan_in: int = FAN_IN) -> DataFra
             return level.select("query_id", "top")
 
 
-def ranked(lists_: DataFrame, score: Column | None = None) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` from sorted lists."""
-    rows = lists_.select("query_id", F.posexplode("top").alias("pos", "hit"))
+def ranked(lists_: DataFrame, queries: DataFrame, score: Column | None = None) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` from sorted lists by the ``row`` of their query in ``queries (id, row)``."""
+    named = lists_.withColumnRenamed("query_id", "row").join(queries.select("row", F.col("id").alias("query_id")), "row")
+    rows = named.select("query_id", F.posexplode("top").alias("pos", "hit"))
     value = -F.col("hit.neg") if score is None else score
     return rows.select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), value.alias("score")

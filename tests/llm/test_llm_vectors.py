@@ -22,9 +22,9 @@ def random_vectors(n, dim=16, seed=3):
 
 def expected(vectors, score, k=20):
     out = []
-    for q, a in vectors:
+    for at, (q, a) in enumerate(vectors):
         if q % 20 == 0:
-            ranked = sorted((-score(a, b), i) for i, b in vectors if i != q)[:k]
+            ranked = sorted((-score(a, b), i) for n, (i, b) in enumerate(vectors) if n != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)]
     return sorted(out)
 
@@ -48,14 +48,16 @@ def test_exact_matches_brute_force_with_ties_copies_and_odd_rows(spark):
     vectors = [(i, [round(x, 1) for x in v[:3]]) for i, v in random_vectors(90)]
     vectors += [(100 + i, [0.5, 0.5, 0.5]) for i in range(60)] + [(-20, [0.0, 0.0, 0.0])]
     vectors = [(i, [float(np.float32(x)) for x in v]) for i, v in vectors]
-    found = topk.exact_top_k(frame(spark, vectors + ODD + vectors[:5]), shard_rows=16, query_rows=3)
+    vectors += vectors[:5]
+    found = topk.exact_top_k(frame(spark, vectors + ODD), shard_rows=16, query_rows=3)
     assert [f.dataType.simpleString() for f in found.schema][:4] == ["bigint", "int", "bigint", "bigint"]
     assert sorted(tuple(r) for r in found.collect()) == expected(vectors, integer_product)
 
 
 def test_exact_with_few_rows_and_large_components(spark):
-    vectors = [(0, [1e6, -1e6]), (1, [-1e6, 1e6]), (2, [3e7, 1e-9])]
-    found = topk.exact_top_k(frame(spark, vectors + [(3, [1e30, 0.0])]))
+    vectors = [(0, [1e6, -1e6]), (1, [-1e6, 1e6]), (2, [3e7, 1e-9]), (3, [4e7, 5.0]), (4, [-3.0, 1e8])]
+    vectors += [(20, [0.0, 0.25])]
+    found = topk.exact_top_k(frame(spark, vectors))
     assert sorted(tuple(r) for r in found.collect()) == expected(
         [(i, [float(np.float32(x)) for x in v]) for i, v in vectors], integer_product
     )
@@ -82,6 +84,16 @@ def test_index_reaches_its_recall_and_scores_exactly(spark):
     assert all(rows == sorted(rows) for rows in by_query.values())
 
 
+@pytest.mark.parametrize("dim", [3, 128])
+def test_index_ties_and_repeated_ids(spark, dim):
+    rows = random_vectors(120, dim=dim)
+    copies = [(500 + i, rows[7][1]) for i in range(90)] + rows[:3] + [(40, rows[9][1])]
+    found = neighbours.nearest_neighbours(frame(spark, rows + copies), share=1.0, cell_rows=16, query_rows=3)
+    narrow = [(i, [float(np.float32(x)) for x in v]) for i, v in rows + copies]
+    wanted = expected(narrow, lambda a, b: float(np.einsum("i,i->", np.array(a), np.array(b))))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == sorted(x[:3] for x in wanted)
+
+
 def test_index_with_one_vector_in_a_third_of_all_rows(spark):
     vectors = random_vectors(400, dim=8) + [(1000 + i, [0.3] * 8) for i in range(200)]
     found = neighbours.nearest_neighbours(frame(spark, vectors), share=1.0, cell_rows=64, query_rows=8).collect()

@@ -60,21 +60,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
 
 
 def _with_place(rows: DataFrame, plan: DataFrame, seed: int, slices: int) -> DataFrame:
-    """Each row with its source's plan, its rank value and its slice of the Pareto order."""
-    return rows.join(plan, rows["source"].eqNullSafe(plan["mix_source"])).withColumns(
-        {"rank_value": _odds(seed, F.col("doc_id")) * (1 - F.col("part")) / F.col("part")}
-    ).withColumn(
-        "slice",
-        F.floor(F.col("rank_value") / (1 + F.col("rank_value")) * slices).cast("int"),
-    )
+    """Each row with its source's plan, its inclusion probability, its rank value and its slice of the Pareto order.
+
+    Rows that are certain rank first, in a slice of their own; rows without words have no rank.
+    """
+    chance = F.least(F.col("pace") * F.col("size"), F.lit(1.0))
+    placed = rows.join(plan, rows["source"].eqNullSafe(plan["mix_source"])).withColumn("chance", chance)
+    rank = _odds(seed, F.col("doc_id")) * (1 - F.col("chance")) / F.nullif(F.col("chance"), F.lit(0.0))
+    placed = placed.withColumn("rank_value", rank)
+    slice_ = F.floor(F.col("rank_value") / (1 + F.col("rank_value")) * slices).cast("int")
+    return placed.withColumn("slice", F.when(F.col("chance") >= 1, F.lit(-1)).otherwise(slice_))
 
 
 def _plan(sizes: DataFrame, weights, cap) -> DataFrame:
-    """Per source: target, whole copies of every document, inclusion probability and words left to sample."""
+    """Per source: target, whole copies of every document, words left to sample and the chance of a word's worth.
+
+    The chance of a document is ``pace * size``, at most 1, such that the expected words of the sample are those
+    wanted: ``pace`` comes from the sizes of a source, largest first, as the first size that need not be certain
+    leaves it. Sizes are counted before they are sorted, so a source has as many rows here as different sizes.
+    """
     targets = source_targets(sizes, weights, cap)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("copies").cast("int")
-    return targets.withColumn("copies", copies).select(
+    targets = targets.withColumn("copies", copies).select(
         F.col("source").alias("mix_source"),
         "source_size",
         "target",
@@ -82,6 +90,21 @@ def _plan(sizes: DataFrame, weights, cap) -> DataFrame:
         F.nullif(F.col("copies") - whole, F.lit(0.0)).alias("part"),
         (F.col("target") - whole * F.col("source_size")).alias("wanted"),
     )
+    targets = write_stage(targets, "targets").df
+    held = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    words = F.col("n").cast("decimal(20,0)") * F.col("size").cast("decimal(17,0)")
+    held = held.withColumn("words", words).withColumn("squares", F.col("words") * F.col("size").cast("decimal(17,0)"))
+    before = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    larger = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("decimal(38,0)"))
+    rest = F.sum("squares").over(Window.partitionBy("source")) - larger("squares")
+    held = held.withColumn("larger", larger("words").cast("double")).withColumn("rest", rest.cast("double"))
+    wanted = targets.where("part IS NOT NULL").select(F.col("mix_source").alias("key"), F.col("wanted").alias("lack"))
+    held = held.join(_bounded(wanted), F.col("source").eqNullSafe(F.col("key")))
+    lack = F.col("lack") - F.col("larger")
+    pace = held.where(lack * F.col("size") <= F.col("rest")).groupBy("key").agg(
+        F.max_by(lack / F.col("rest"), "size").alias("pace")
+    )
+    return targets.join(_bounded(pace), F.col("mix_source").eqNullSafe(F.col("key")), "left").drop("key")
 
 
 def _bounded(plan: DataFrame) -> DataFrame:
@@ -99,22 +122,24 @@ def allocate(
     """Copies of every document that bring each source to its target.
 
     ``rows`` has ``doc_id, source, size`` and any columns besides; ``source_size, target, copies`` are added. ``sizes``
-    may be a narrower table of the same rows to plan on. With ``target / source_size`` copies expected of a document,
-    the whole ones are certain. The fraction is its inclusion probability: documents are ranked by random odds over
-    inclusion odds, and a source takes from the front of that order as many words as its target still lacks, up to
-    the document whose end or start is nearest. So a source misses its target by half a document at most, and no
+    may be a narrower table of the same rows to plan on. The whole copies in ``target / source_size`` are certain for
+    every document. The words that a source still lacks are sampled with a chance in proportion to a document's size,
+    where the largest may be certain too: documents are ranked by random odds over the odds of their inclusion, and a
+    source takes from the front of that order as many words as it lacks, up to the document whose end or start is
+    nearest. So a source misses its target by half a document at most, large ones seldom stand at that edge, and no
     document comes more than ``cap`` times.
 
     The order is cut into ``slices`` by rank value, by default the more the more rows there are; only the slice with a
-    source's edge is sorted, so a source of any size is spread over all tasks. Random odds depend on seed and id, so reruns agree. A null source is a source; a null id
-    is an id; rows that repeat an id are documents of their own. No rows give no rows. Jobs run while it is planned.
+    source's edge is sorted, so a source of any size is spread over all tasks. Random odds depend on seed and id, so
+    reruns agree. A null source is a source; a null id is an id; rows that repeat an id are documents of their own;
+    rows without words get certain copies only. No rows give no rows. Jobs run while it is planned.
     """
     sizes = rows.select("doc_id", "source", "size") if sizes is None else sizes
     slices = max(SLICES, sizes.count() // SLICE_ROWS) if slices is None else slices
     planned = write_stage(_plan(sizes, weights, cap), "mix").df
     plan = _bounded(planned)
     placed = _with_place(sizes, plan, seed, slices)
-    cut = placed.where("part IS NOT NULL").groupBy("mix_source", "slice").agg(F.sum("size").alias("held"))
+    cut = placed.where("part IS NOT NULL AND slice IS NOT NULL").groupBy("mix_source", "slice").agg(F.sum("size").alias("held"))
     upto = F.sum("held").over(Window.partitionBy("mix_source").orderBy("slice"))
     cut = cut.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("held"))
     wanted = planned.select(F.col("mix_source").alias("key"), F.col("wanted").alias("lack"))
@@ -130,8 +155,9 @@ def allocate(
     # The row travels as one column, so that its own columns can have any names.
     named = rows.select("doc_id", "source", "size", F.struct("*").alias("row"))
     placed = _with_place(named, plan, seed, slices)
-    at_edge = F.col("part").isNotNull() & F.coalesce(F.col("slice") == F.col("edge_slice"), F.lit(False))
-    taken = F.col("part").isNotNull() & F.coalesce(F.col("slice") < F.col("edge_slice"), F.lit(True))
+    ranked = F.col("part").isNotNull() & F.col("slice").isNotNull()
+    at_edge = ranked & F.coalesce(F.col("slice") == F.col("edge_slice"), F.lit(False))
+    taken = ranked & F.coalesce(F.col("slice") < F.col("edge_slice"), F.lit(True))
     inside = placed.where(~at_edge).withColumn("extra", taken.cast("int"))
     order = Window.partitionBy("mix_source").orderBy("rank_value", "doc_id", "size")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -146,7 +172,7 @@ def allocate(
 def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them; sizes are words.
 
-    See ``allocate``. Documents without words are kept once when their source's certain copies or the order take them.
+    See ``allocate``. Documents without words come as often as their source's certain copies say.
     """
     sizes = write_stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes").df
     own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("document"))
@@ -183,11 +209,21 @@ t AS (SELECT o.source, o.source_size,
              CASE WHEN o.rest * o.weight > o.most * o.open_weight THEN o.most::DOUBLE
                   ELSE (f.rest * o.weight)::DOUBLE / f.open_weight::DOUBLE END AS target FROM o LEFT JOIN f ON true),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM t),
-q AS (SELECT d.doc_id, d.size, p.source, p.source_size, p.target, floor(copies) AS whole, copies - floor(copies) AS part,
-             target - floor(copies) * source_size AS wanted,
-             (u / (1 - u)) * (1 - (copies - floor(copies))) / nullif(copies - floor(copies), 0) AS rank_value
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank_value, doc_id NULLS FIRST, size
+h AS (SELECT source, size, count(*)::HUGEINT * size AS words, count(*)::HUGEINT * size * size AS squares
+      FROM d WHERE size > 0 GROUP BY source, size),
+g AS (SELECT source, size,
+             coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS larger,
+             (sum(squares) OVER (PARTITION BY source ORDER BY size DESC
+                                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rest FROM h),
+e AS (SELECT p.source, max_by((target - floor(copies) * source_size - larger) / rest, g.size) AS pace
+      FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
+      WHERE (target - floor(copies) * source_size - larger) * g.size <= rest GROUP BY p.source),
+i AS (SELECT d.*, p.source_size, p.target, floor(copies) AS whole, copies - floor(copies) AS part,
+             target - floor(copies) * source_size AS wanted, least(pace * d.size, 1) AS chance
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+q AS (SELECT *, (u / (1 - u)) * (1 - chance) / nullif(chance, 0) AS rank_value FROM i),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank_value NULLS LAST, doc_id NULLS FIRST, size
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN part > 0 AND 2 * upto - size <= 2 * wanted THEN 1 ELSE 0 END))::BIGINT AS taken

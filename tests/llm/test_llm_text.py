@@ -243,6 +243,26 @@ def test_mix_keeps_columns_and_copies(spark):
     assert [(r.taken, r.target) for r in mixture.mix_sizes(nothing).collect()] == [(0, 0.0)] * 2
 
 
+def test_larger_documents_are_taken_more_often(spark):
+    rows = [(i, "s" if i % 2 else "t", 1 + i % 7 * 10 + 400 * (i == 33)) for i in range(140)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    runs = [mixture.allocate(sizes, weights=(2, 1), seed=seed, slices=8).collect() for seed in range(12)]
+    for source in "st":
+        mine = [(r.doc_id, r.size, r.copies, r.target, r.source_size) for run in runs for r in run if r.source == source]
+        whole, lack = divmod(mine[0][3], mine[0][4])
+        here = sorted(size for _, s, size in rows if s == source)
+        # The chances add up to the words that lack, the largest documents being certain one after the other.
+        sure, open_ = 0.0, list(here)
+        while open_ and (lack - sure) * open_[-1] > sum(z * z for z in open_):
+            sure += open_.pop()
+        pace = (lack - sure) / sum(z * z for z in open_)
+        for size in set(here):
+            chance = min(1.0, pace * size)
+            extra = [copies - whole for _, z, copies, _, _ in mine if z == size]
+            assert set(extra) <= {0, 1}
+            assert np.mean(extra) == pytest.approx(chance, abs=0.01 if chance == 1 else 4 * 0.5 / len(extra) ** 0.5)
+
+
 def test_slices_do_not_change_the_mix(spark):
     sizes = spark.createDataFrame([(i, "s" if i % 3 else "t", i % 50) for i in range(500)], "doc_id bigint, source string, size bigint")
     one, many = (sorted(tuple(r) for r in mixture.allocate(sizes, slices=n).collect()) for n in (1, 4096))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm import sketch
@@ -21,6 +21,8 @@ PERCENT = 80
 # Sets, and shingles, that a block of similar sets may hold.
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 200_000
+# Sets of one group that are dealt into a block together.
+GROUP_SETS = 32
 _COLUMNS = 4096
 # Bytes of text per shingle in a prefix, to size the sketch.
 _PREFIX_BYTES = 18
@@ -134,21 +136,46 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _checked(group: pa.Table, percent: int) -> pa.Table:
-    """Links between the sets of two blocks, or within one, as a forest: each set beside the least it is joined to."""
-    group = group.sort_by("node")
-    nodes = group["node"].to_pylist()
-    sets = [np.frombuffer(x, "<u8") for x in group["shingles"].to_pylist()]
-    second = group["second"].to_numpy(zero_copy_only=False).astype(bool)
-    first_rows, second_rows = np.flatnonzero(~second), np.flatnonzero(second)
-    if not len(second_rows):
-        second_rows = first_rows
-    size = np.array([len(s) for s in sets])
+def _group_pairs(first: list[tuple], second: list[tuple], percent: int) -> np.ndarray:
+    """Which groups ``(n, prefix)`` may hold linked sets: sizes near enough, and a prefix shingle in common."""
+    n, m = (np.array([g[0] for g in side]) for side in (first, second))
+    near = percent * np.maximum(n[:, None], m[None, :]) <= 100 * np.minimum(n[:, None], m[None, :])
+    if first is not second and near.any():
+        near &= _overlaps([g[1] for g in first], [g[1] for g in second]) > 0
+    return near
+
+
+def _checked(rows: pa.Table, percent: int) -> pa.Table:
+    """Links between the sets of two blocks, or within one, as a forest: each set beside the least it is joined to.
+
+    Pairs of groups are filtered first; only members of groups with a partner left are compared. All sets of one block
+    have the shingle in common that names it.
+    """
+    rows = rows.sort_by("node")
+    nodes = rows["node"].to_pylist()
+    sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
+    second = rows["second"].to_numpy(zero_copy_only=False).astype(bool)
+    group, prefixes = rows["group"].to_numpy(), rows["prefix"].to_pylist()
+    sides, groups, places = [np.flatnonzero(~second), np.flatnonzero(second)], [], []
+    for side in sides:
+        named, place = np.unique(group[side], return_inverse=True)
+        held = [None] * len(named)
+        for i, at in zip(side, place):
+            if prefixes[i] is not None:
+                held[at] = (len(sets[i]), np.array(prefixes[i], np.int64))
+        groups.append(held)
+        places.append(place)
+    if not len(sides[1]):
+        sides, groups, places = [sides[0]] * 2, [groups[0]] * 2, [places[0]] * 2
     linked = np.zeros((len(sets), len(sets)), bool)
-    if len(first_rows):
-        shared = _overlaps([sets[i] for i in first_rows], [sets[i] for i in second_rows]).astype(np.int64)
-        union = size[first_rows][:, None] + size[second_rows][None, :] - shared
-        linked[np.ix_(first_rows, second_rows)] = 100 * shared >= percent * union
+    if len(sides[0]):
+        near = _group_pairs(*groups, percent)
+        left, right = sides[0][near.any(axis=1)[places[0]]], sides[1][near.any(axis=0)[places[1]]]
+        if len(left) and len(right):
+            size = np.array([len(s) for s in sets])
+            shared = _overlaps([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+            union = size[left][:, None] + size[right][None, :] - shared
+            linked[np.ix_(left, right)] = 100 * shared >= percent * union
     linked |= linked.T
     np.fill_diagonal(linked, True)
     label = np.arange(len(sets))
@@ -172,16 +199,22 @@ def _links(tiles: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     sides = tiles.select(
         "one", "two", F.explode(F.array_distinct(F.array(F.struct(F.col("one").alias("block"), F.lit(False).alias("second")), F.struct(F.col("two").alias("block"), (F.col("one") != F.col("two")).alias("second"))))).alias("side")
     ).select("one", "two", "side.block", "side.second")
-    rows = sides.join(members.select("block", "node", "shingles"), "block").drop("block")
-    return rows.groupBy("one", "two").applyInArrow(lambda group: _checked(group, percent), _LINKS)
+    rows = sides.join(members.select("block", "node", "group", "prefix", "shingles"), "block").drop("block")
+    return rows.groupBy("one", "two").applyInArrow(lambda table: _checked(table, percent), _LINKS)
+
 
+def _near_sizes(low: str, high: str, other_low: str, other_high: str, percent: int) -> Column:
+    """Whether two ranges of set sizes have sizes that linked sets may have."""
+    return (percent * F.col(low) <= 100 * F.col(other_high)) & (percent * F.col(other_low) <= 100 * F.col(high))
 
-def _blocks(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``(node, block, prefix, shingles)``: sets in blocks by a shingle that the most alike ones share.
+
+def _blocks(found: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members ``(node, block, group, prefix, shingles)`` and groups ``(block, group, n, prefix)``.
 
     ``found`` has ``(token, node, n)`` of shingles that several prefixes hold. Of these a set keeps the rarest, as many
-    as must hold one that any linked set keeps too. Its block is named by the commonest kept one; large blocks are
-    dealt into several of bounded size.
+    as must hold one that any linked set keeps too: its prefix. Sets with the same prefix and size are one group. The
+    commonest shingle of the prefix names the block of a group; large blocks are dealt into several of bounded size, a
+    large group into several parts. Of a group's members in a block, one carries the prefix.
     """
     counts = found.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     counts = write_stage(counts, "frequencies").df
@@ -194,15 +227,21 @@ def _blocks(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     by_node = by_node.withColumn("tokens", F.slice("tokens", 1, F.col("keep")))
     kept = by_node.select(
         "node", "n", F.col("tokens.token").alias("prefix"), F.element_at("tokens", -1)["token"].alias("bucket")
-    )
+    ).withColumn("group", F.xxhash64("prefix", "n"))
     kept = write_stage(kept, "prefixes").df
-    sizes = kept.groupBy("bucket").agg(F.count("*").alias("sets"), F.sum("n").alias("held"))
-    parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_SHINGLES))
-    sizes = sizes.select("bucket", parts.alias("parts"))
-    dealt = kept.join(sizes, "bucket").withColumn(
-        "block", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.col("parts")))
-    )
-    return dealt.select("node", "block", "prefix").join(nodes.select("node", "shingles"), "node")
+    groups = kept.groupBy("bucket", "group", "n").agg(F.any_value("prefix").alias("prefix"), F.count("*").alias("sets"))
+    groups = write_stage(groups, "groups").df
+    sizes = groups.groupBy("bucket").agg(F.sum("sets").alias("all"), F.sum(F.col("n") * F.col("sets")).alias("held"))
+    parts = F.greatest(F.ceil(F.col("all") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_SHINGLES))
+    dealt = groups.drop("prefix").join(sizes.select("bucket", parts.alias("parts")), "bucket")
+    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / min(GROUP_SETS, BLOCK_SETS)))
+    block = F.xxhash64("bucket", F.pmod(F.xxhash64("group", share), F.col("parts")))
+    placed = kept.select("node", "bucket", "group", "n").join(dealt, ["bucket", "group", "n"])
+    placed = write_stage(placed.select("node", "bucket", "group", "n", block.alias("block")), "placed").df
+    leads = placed.groupBy("block", "bucket", "group", "n").agg(F.min("node").alias("node"))
+    leads = write_stage(leads.join(groups.drop("sets"), ["bucket", "group", "n"]), "leads").df
+    members = placed.select("node", "block", "group").join(leads.select("node", "prefix"), "node", "left")
+    return members.join(nodes.select("node", "shingles"), "node"), leads.select("block", "group", "n", "prefix")
 
 
 def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -214,10 +253,12 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
     1. Equal sets are one node. A set's prefix is its least shingles by hash, long enough that linked sets share an
        eighth of their size in it; a count-min sketch over all prefixes lets go the sets whose prefix cannot. The more
        shingles there are beyond its bound, the more it lets through to the exact counts of step 2.
-    2. Shingles of the others' prefixes are counted exactly, and each set keeps its rarest.
-    3. Sets go into blocks by the commonest shingle kept, so that sets alike meet in one block. Pairs of blocks with a
-       shingle in common are checked member by member, exactly and whole, in one task of bounded size each, which gives
-       a forest of links instead of all pairs.
+    2. Shingles of the others' prefixes are counted exactly, and each set keeps its rarest. Sets of equal prefix and size
+       are collapsed into one group.
+    3. Groups go into blocks by the commonest shingle kept, so that groups alike meet in one block. Blocks with a prefix
+       shingle in common and sizes near enough form pairs; in a task of bounded size each, pairs of groups are filtered
+       by size and prefix, expanded, and their members verified exactly and whole, which gives a forest of links instead
+       of all pairs.
     4. Blocks are checked by themselves and against the least block of every shingle first. Further pairs of blocks
        are checked only where these links leave more than one component in them: what is left out joins nothing new.
     """
@@ -240,11 +281,15 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
     # One row of each class stands for it; rows that repeat an id and text are equal in all that is read here.
     nodes = near.join(classes, ["node", "doc", "mark"], "left_semi").dropDuplicates(["node"])
     nodes = write_stage(nodes.select("node", "n", "tokens", "shingles"), "nodes").df
-    members = write_stage(_blocks(nodes.select("node", "n", F.explode("tokens").alias("token")), nodes, percent), "blocks").df
-
-    held = write_stage(members.select(F.explode("prefix").alias("token"), "block").distinct(), "held").df
-    pivot = held.groupBy("token").agg(F.min("block").alias("one"), F.count("*").alias("blocks"))
-    star = held.join(pivot.where("blocks > 1"), "token").select("one", F.col("block").alias("two"))
+    members, groups = _blocks(nodes.select("node", "n", F.explode("tokens").alias("token")), nodes, percent)
+    members = write_stage(members, "blocks").df
+
+    held = groups.select(F.explode("prefix").alias("token"), "block", "n").groupBy("token", "block")
+    held = write_stage(held.agg(F.min("n").alias("low"), F.max("n").alias("high")), "held").df
+    pivot = held.groupBy("token").agg(F.min(F.struct("block", "low", "high")).alias("one"), F.count("*").alias("blocks"))
+    pivot = pivot.select("token", "blocks", F.col("one.block").alias("one"), F.col("one.low").alias("low_one"), F.col("one.high").alias("high_one"))
+    star = held.join(pivot.where("blocks > 1"), "token").where(_near_sizes("low", "high", "low_one", "high_one", percent))
+    star = star.select("one", F.col("block").alias("two"))
     own = members.groupBy("block").count().where("count > 1").select(F.col("block").alias("one"), F.col("block").alias("two"))
     tiles = write_stage(star.where("one <> two").unionByName(own).distinct(), "tiles").df
     links = write_stage(_links(tiles, members, percent), "found").df
@@ -260,11 +305,15 @@ def near_copy_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
     )
     open_tokens = open_tokens.where("blocks > 1 AND (whole < blocks OR low <> high)").select("token")
     marked = write_stage(marked.join(open_tokens, "token"), "open").df
-    left = marked.select("token", F.col("block").alias("one"), F.col("root").alias("root_one"))
-    right = marked.select("token", F.col("block").alias("two"), F.col("root").alias("root_two"))
+    left, right = (
+        marked.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "root", "low", "high")])
+        for side in ("one", "two")
+    )
+    left, right = left.withColumnRenamed("block_one", "one"), right.withColumnRenamed("block_two", "two")
     more = left.join(right.hint("merge"), "token").where(
         "one < two AND (root_one IS NULL OR root_two IS NULL OR root_one <> root_two)"
     )
+    more = more.where(_near_sizes("low_one", "high_one", "low_two", "high_two", percent))
     more = more.select("one", "two").distinct().join(tiles, ["one", "two"], "left_anti")
     both = links.unionByName(_links(write_stage(more, "tiles").df, members, percent))
     joined = components(both)

@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)`` but the roots; a root is the least node of its component.
 
     Every round hooks the neighbours of a node to the least one among them, first the larger neighbours, then the
-    smaller ones, until only stars are left. Each round is written and the one before it deleted.
+    smaller ones, until only stars are left. Each round is written and the one before it deleted. The least neighbours
+    are written first, so that both sides of a join are plain exchanges and a node of very many links can be split.
     """
     stars = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stage = write_stage(stars, "links")
@@ -27,10 +28,14 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        following = write_stage(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links")
+        least = write_stage(least, "least")
+        large = both.join(least.df, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = write_stage(large, "large")
+        nearest = write_stage(large.df.groupBy("a").agg(F.min("b").alias("m")), "nearest")
+        small = large.df.join(nearest.df, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        following = write_stage(small.unionByName(nearest.df.withColumnRenamed("m", "b")).distinct(), "links")
+        for table in (least, large, nearest):
+            table.drop()
         stage.drop()
         stage = following
     raise RuntimeError(f"no stars after {_ROUNDS} rounds")

@@ -95,3 +95,14 @@ def test_fingerprint_sees_where_nulls_are(spark, tmp_path):
     assert before == cache.file_fingerprint(spark, str(tmp_path / "t"))
     second.write.mode("append").parquet(str(tmp_path / "t"))
     assert before != cache.file_fingerprint(spark, str(tmp_path / "t"))
+
+
+def test_many_runs_share_a_loss_file(spark, tmp_path):
+    rows = [("a", [1.5, None, float("nan")]), ("b", []), (None, [2.0])]
+    spark.createDataFrame(rows, "run string, losses array<double>").coalesce(1).write.json(str(tmp_path / "log"))
+    got = readers.load_loss_log(spark, str(tmp_path / "log"), lines=True).collect()
+    assert sorted(((r.run or "", r.step, str(r.loss)) for r in got)) == [("", 0, "2.0"), ("a", 0, "1.5"), ("a", 1, "None"), ("a", 2, "nan")]
+    from corpuskit.plans import catalog
+
+    query = catalog.QUERIES["loss_log_read"](spark, "/root/testdata/sf0.01")
+    assert query.select("run").distinct().count() > 100 and len(query.inputFiles()) <= 16

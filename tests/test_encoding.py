@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import models
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,27 @@ def test_both_ways_agree_on_odd_vocabularies_and_texts(spark):
 def test_padding_needs_a_length(rows, vocab):
     with pytest.raises(ValueError):
         encoding.encode_single(rows, vocab, pad_id=3)
+
+
+def test_lookup_of_many_words_holds_no_python_objects_for_them(spark):
+    # A worker remembered up to 500,000 words, and held the vocabulary as a dict.
+    pieces = [*tx.SPECIALS, *(f"w{i}" for i in range(150_000))]
+    lookup = encoding._id_lookup(spark, {p: i for i, p in enumerate(pieces)}, tx.SPECIALS, split=False).func
+    column = pa.array([f"w{i}" for i in range(300_000)] + ["", None])
+    tracemalloc.start()
+    try:
+        ids = lookup(column)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    del column
+    assert held < 8_000_000
+    assert ids[7].as_py() == [13] and ids[200_000].as_py() == [0] and ids[300_000].as_py() == ids[300_001].as_py() == []
+
+
+def test_words_that_end_like_a_continuation_are_walked(spark):
+    rows = [*tx.SPECIALS, "###", "ab", "w" * 101]
+    vocab = spark.createDataFrame([(i, p, "piece") for i, p in enumerate(rows)], vocabulary.VOCAB_SCHEMA)
+    df = spark.createDataFrame([(0, "#### ab abc ###ab [SEP] " + "w" * 101)], "doc_id int, text string")
+    want = [6, 6, 7, 0, 6, 7, 2, 0]
+    assert encoding.encode(df, vocab).first().ids == want

@@ -67,3 +67,21 @@ def test_hash_fraction_is_uniform_and_stable(spark):
     assert 1800 < low < 2200
     assert df.where("f < 0 or f >= 1").count() == 0
     assert df.repartition(7).where("f < 0.1").count() == low
+
+
+def test_split_words_are_words_for_every_latin_character_and_mark(spark):
+    # Marks and white space differ between Java and RE2; every character meets letters, marks, blanks and itself here.
+    near = [chr(c) for c in [*range(0x01, 0x250), *range(0x2000, 0x2070), 0x20AC, 0x3000, 0x4F60, 0x1F600, 0xFDD0, 0xAC00]]
+    values = [f"a{c}b {c} .{c}. {c}{c}x{c}" for c in near] + ["", "  \n", "[SEP]a", "“a–b” [SEP]… ß。", " x", "x\u000by\u001cz"]
+    df = texts(spark, values)
+    for specials in (None, tx.SPECIALS):
+        text = F.col("text")
+
+        @F.arrow_udf("array<string>")
+        def split(column):
+            return tx.split_words(column)
+
+        got = df.select("i", tx.words(text, specials).alias("want"), split(tx.splittable(text, specials)).alias("got")).collect()
+        for r in got:
+            assert [w for w in r.got if w] == r.want, values[r.i]
+    assert [r[0] for r in texts(spark, ["é ß“", "你", "a b"]).orderBy("i").select(tx.splittable(F.col("text"))["plain"]).collect()] == [True, False, False]

@@ -121,3 +121,17 @@ def test_quantiles_without_sorting_equal_sorted_ones(spark):
         ranking.exact_quantiles(spark.createDataFrame([(-1,)], "v int"), F.col("v"), [0.5])
     rows = spark.createDataFrame([([1] * n,) for n in (3, 0, 9)] + [(None,)], "ids array<int>")
     assert [r.length for r in windows.length_quantiles(rows, (0.0, 0.5, 1.0)).collect()] == [0, 3, 9]
+
+
+def test_quantiles_read_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def counted(ids):
+        seen.add(1)
+        return ids
+
+    rows = spark.createDataFrame([([1] * (n % 7),) for n in range(40)], "ids array<int>")
+    rows = rows.withColumn("ids", counted.asNondeterministic()("ids"))
+    assert [r.length for r in windows.length_quantiles(rows, (0.0, 0.5, 1.0)).collect()] == [0, 3, 6]
+    assert seen.value == 40

@@ -135,3 +135,16 @@ def test_quantiles_read_the_rows_once(spark):
     rows = rows.withColumn("ids", counted.asNondeterministic()("ids"))
     assert [r.length for r in windows.length_quantiles(rows, (0.0, 0.5, 1.0)).collect()] == [0, 3, 6]
     assert seen.value == 40
+
+
+def test_neighbours_are_read_by_compiled_expressions(rows):
+    for df in (windows.adjacent_pairs(rows), windows.context_windows(rows, (-2, -1, 1, 2))):
+        query = df._jdf.queryExecution()
+        assert "lambdafunction" not in query.optimizedPlan().toString()
+        # Pairs leave the compiled stage without the list that they are read from.
+        plan = query.executedPlan().toString()
+        assert "Generate posexplode" in plan and "_ids" not in plan.splitlines()[0]
+    with pytest.raises(ValueError):
+        windows.context_windows(rows, (-3, 3), margin=2)
+    nulls = rows.select("doc_id", F.lit(None).cast("array<int>").alias("ids"))
+    assert windows.adjacent_pairs(nulls).count() == windows.context_windows(nulls).count() == 0

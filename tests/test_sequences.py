@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import models
 import numpy as np
@@ -141,9 +143,8 @@ def test_neighbours_are_read_by_compiled_expressions(rows):
     for df in (windows.adjacent_pairs(rows), windows.context_windows(rows, (-2, -1, 1, 2))):
         query = df._jdf.queryExecution()
         assert "lambdafunction" not in query.optimizedPlan().toString()
-        # Pairs leave the compiled stage without the list that they are read from.
-        plan = query.executedPlan().toString()
-        assert "Generate posexplode" in plan and "_ids" not in plan.splitlines()[0]
+        # Only the key goes along with the exploded rows, not the list.
+        assert re.search(r"Generate posexplode\(.*\), \[doc_id#\d+\],", query.executedPlan().toString())
     with pytest.raises(ValueError):
         windows.context_windows(rows, (-3, 3), margin=2)
     nulls = rows.select("doc_id", F.lit(None).cast("array<int>").alias("ids"))

@@ -1,3 +1,4 @@
+import os
 import random
 import tracemalloc
 
@@ -194,3 +195,25 @@ def test_words_that_end_like_a_continuation_are_walked(spark):
     df = spark.createDataFrame([(0, "#### ab abc ###ab [SEP] " + "w" * 101)], "doc_id int, text string")
     want = [6, 6, 7, 0, 6, 7, 2, 0]
     assert encoding.encode(df, vocab).first().ids == want
+
+
+def test_listed_rows_counts_lookups_and_fits_share_their_workers(spark):
+    """Python as each of them runs it; a worker's parent is the daemon of its pool. Listed rows, as the special pieces of a
+    vocabulary, come through a Python RDD."""
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getppid()] * batch.num_rows, pa.int64())], ["pid"])
+
+    def fitted(frames):
+        for frame in frames:
+            yield frame.assign(pid=os.getppid())[["pid"]]
+
+    @F.arrow_udf("bigint")
+    def looked_up(column: pa.Array) -> pa.Array:
+        return pa.array([os.getppid()] * len(column), pa.int64())
+
+    rows = spark.range(20)
+    made = [rows.mapInArrow(counted, "pid bigint"), rows.select(looked_up("id")), rows.mapInPandas(fitted, "pid bigint")]
+    pools = {r[0] for df in made for r in df.collect()}
+    assert pools == set(spark.sparkContext.parallelize(range(20)).map(lambda _: os.getppid()).collect())

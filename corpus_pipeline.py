@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,26 +13,41 @@ from corpuskit.session import configure, write_stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def configured(stage: Stage) -> Stage:
+    """The stage in a session that has the settings its memory relies on, also where it is run without ``run``."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
+@configured
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; null texts and texts without a letter go."""
     return language.with_language(docs)
 
 
+@configured
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document or line has; those left without any line go."""
     return lines.without_repeated_lines(docs)
 
 
+@configured
 def overlap_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return overlap.without_near_copies(docs)
 
 
+@configured
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixture.mix_documents(docs)
 
 
+@configured
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents with their places in sequences."""
     return packing.pack_documents(docs)

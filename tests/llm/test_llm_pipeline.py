@@ -7,6 +7,7 @@ import numpy as np
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from corpuskit import session
 from corpuskit.llm import mixture, packing, queries
 
 
@@ -75,6 +76,16 @@ def test_stages_keep_columns(spark):
         assert [f.dataType for f in docs.schema] == [f.dataType for f in spark.createDataFrame([], brute.SCHEMA).schema]
 
 
+def test_stages_set_the_session(spark):
+    docs = spark.createDataFrame([], brute.SCHEMA)
+    alone = spark.newSession()
+    for _, stage in corpus_pipeline.STAGES:
+        for key in session.RUNTIME_SETTINGS:
+            alone.conf.unset(key)
+        stage(alone, docs, "/nowhere")
+        assert {key: alone.conf.get(key) for key in session.RUNTIME_SETTINGS} == session.RUNTIME_SETTINGS
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], brute.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

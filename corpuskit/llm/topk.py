@@ -18,9 +18,14 @@ TOP = 20
 SHARD_ROWS = 1024
 QUERY_ROWS = 256
 _NARROW = float(2**31)
+# The least score, and entries per query that are held beyond the best, in multiples of their number.
+_LEAST = -(2**63) + 1
+_LOOSE = 4
 
 _BLOCK = "block int, ids binary, vecs binary, vec_bytes int"
 _TOPS = "query_id bigint, part int, top array<struct<neg: bigint, id: bigint>>"
+_HITS = pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.int64())]))
+_NO_TOPS = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("top", _HITS)]).empty_table()
 
 
 def _packed(group: pa.Table) -> pa.Table:
@@ -50,24 +55,37 @@ def _blocks(vectors: DataFrame, count: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(_packed, _BLOCK)
 
 
-def _tile(batches: Iterator[pa.RecordBatch], k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    names = ("part", "ids", "vecs", "vec_bytes", "query_ids", "query_vecs", "query_bytes")
-    for batch in batches:
-        for part, ids, vecs, size, query_ids, query_vecs, query_size in zip(*(batch.column(n).to_pylist() for n in names)):
-            ids, rows = np.frombuffer(ids, "<i8").reshape(2, -1)
-            query_rows = np.frombuffer(query_ids, "<i8").reshape(2, -1)[1]
-            scores = toplists.products(_matrix(query_vecs, query_size, dim), _matrix(vecs, size, dim))
-            own = query_rows[:, None] == rows[None, :]
-            scores[own] = np.iinfo(np.int64).min
-            picked = toplists.best(scores, k) & ~own
-            yield pa.record_batch(
-                [
-                    pa.array(query_rows, pa.int64()),
-                    pa.array(np.full(len(query_rows), part, np.int32)),
-                    toplists.lists(picked, scores, ids, pa.int64()),
-                ],
-                ["query_id", "part", "top"],
-            )
+def _tops(shards: pa.Table, asked: pa.Table, part: int, k: int, dim: int) -> Iterator[pa.Table]:
+    """The best ``k`` of all shards for every query, block by block."""
+    columns = ("ids", "vecs", "vec_bytes")
+    shards = [
+        (*np.frombuffer(ids, "<i8").reshape(2, -1), _matrix(vecs, size, dim)) for ids, vecs, size in zip(*(shards[c].to_pylist() for c in columns))
+    ]
+    for query_ids, query_vecs, query_size in zip(*(asked[c].to_pylist() for c in columns)):
+        query_rows = np.frombuffer(query_ids, "<i8").reshape(2, -1)[1]
+        queries = _matrix(query_vecs, query_size, dim)
+        floor = np.full(len(query_rows), _LEAST)
+        held, loose = [np.empty(0, np.int64) for _ in range(3)], []
+        for number, (ids, rows, vecs) in enumerate(shards):
+            scores = toplists.products(queries, vecs)
+            # Scores are cut above the least long, so a query never finds its own row.
+            scores[query_rows[:, None] == rows[None, :]] = np.iinfo(np.int64).min
+            fit = scores >= floor[:, None]
+            if fit.sum() > _LOOSE * k * len(floor):
+                fit &= toplists.best(scores, k)
+            query, at = np.nonzero(fit)
+            loose.append((query, -scores[query, at], ids[at]))
+            if sum(len(x[0]) for x in loose) > _LOOSE * k * len(floor) or number == len(shards) - 1:
+                held = [np.concatenate(x) for x in zip(held, *loose)]
+                first = toplists.first_of(held[0], k, *held[1:])
+                held, loose = [x[first] for x in held], []
+                size = np.bincount(held[0], minlength=len(floor))
+                full = np.flatnonzero(size >= k)
+                floor[full] = -held[1][np.cumsum(size)[full] - 1]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(held[0], minlength=len(floor)))]).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in held[1:]], ["neg", "id"])
+        parts = pa.array(np.full(len(floor), part, np.int32))
+        yield pa.table([pa.array(query_rows, pa.int64()), parts, pa.ListArray.from_arrays(pa.array(offsets), values)], ["query_id", "part", "top"])
 
 
 def exact_top_k(
@@ -83,8 +101,9 @@ def exact_top_k(
     """The ``k`` largest integer inner products of every query with all other rows: ``(query_id, rank, vec_id, score)``.
 
     A component ``x`` counts as ``floor(scale * x)``. Queries are the rows that ``queries`` (a condition on ``id``)
-    holds for, by default ids divisible by 20. Query blocks and shards of bounded rows meet once as tiles, each a
-    matrix product and a partial selection, and a query's lists are merged in a tree. Ties go to the smaller id.
+    holds for, by default ids divisible by 20. Query blocks and shards of bounded rows meet once, each time in a matrix
+    product and a partial selection; a tile is one task's many blocks and shards, which hands on one list a query, and a
+    query's lists are merged in a tree. Ties go to the smaller id.
 
     Null ids, null or empty vectors, and vectors that hold null or non-finite components take no part; vectors of another
     length than the commonest neither. Rows that repeat an id are rows of their own, as queries too. Scores beyond a long
@@ -103,16 +122,22 @@ def exact_top_k(
     blocks = max(1, math.ceil(asked.count() / query_rows))
     packed = write_stage(_blocks(vectors.select("id", "row", whole), shards), "shards").df
     asking = write_stage(_blocks(asked.select("id", "row", whole), blocks), "queries").df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    shard_side, block_side = toplists.tile_sides(shards, blocks, shard_rows, query_rows, dim, cores)
+    parts, calls = math.ceil(shards / shard_side), math.ceil(blocks / block_side)
+    columns = ["ids", "vecs", "vec_bytes"]
     left = packed.select(
-        F.col("block").alias("part"), "ids", "vecs", "vec_bytes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked")
+        F.floor(F.col("block") / shard_side).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(calls - 1))).alias("call"), *columns
     )
     right = asking.select(
-        F.col("block").alias("asked"),
-        F.col("ids").alias("query_ids"),
-        F.col("vecs").alias("query_vecs"),
-        F.col("vec_bytes").alias("query_bytes"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"),
+        F.floor(F.col("block") / block_side).cast("int").alias("call"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *columns
     )
-    tiles = left.join(right, ["part", "asked"]).drop("asked")
-    tops = tiles.mapInArrow(lambda batches: _tile(batches, k, dim), _TOPS)
-    return toplists.ranked(toplists.merged(tops, shards, k), asked)
+
+    def tile(held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not held.num_rows or not asked.num_rows:
+            return _NO_TOPS
+        return pa.concat_tables(_tops(held, asked, held["part"][0].as_py(), k, dim))
+
+    tops = toplists.tiles(left, right, ["part", "call"], parts * calls, tile, _TOPS)
+    tops = toplists.merged(tops, parts, k)
+    return toplists.ranked(tops, asked)

@@ -1,7 +1,9 @@
-"""Vectors by id, blocks of them as matrices, and a tree of merges of per-query top lists."""
+"""Vectors by id, blocks of them as matrices, tiles of blocks, and a tree of merges of per-query top lists."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 
 # Lists merged by one task for one query at a time.
 FAN_IN = 16
+# Bytes of vectors of either side that meet in one task, at 8 a number, and the tiles that every core gets if it can.
+TILE_BYTES = 1 << 25
+TILES_A_CORE = 4
+# Tasks of a shuffle of tiles at most; each takes one tile after the other.
+TILE_TASKS = 2000
 
 
 def usable(df: DataFrame, id_column: str, vector_column: str, zero: bool = True) -> DataFrame:
@@ -75,6 +82,40 @@ def lists(picked: np.ndarray, scores: np.ndarray, ids: np.ndarray, kind: pa.Data
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def first_of(keys: np.ndarray, k: int, *order: np.ndarray) -> np.ndarray:
+    """Places of the first ``k`` entries of every key, sorted by key and then by ``order``."""
+    at = np.lexsort((*reversed(order), keys))
+    if not len(at):
+        return at
+    starts = np.flatnonzero(np.concatenate([[True], keys[at][1:] != keys[at][:-1]]))
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    return at[place < k]
+
+
+def tile_sides(shards: int, blocks: int, shard_rows: int, block_rows: int, dim: int, cores: int) -> tuple[int, int]:
+    """How many shards and how many blocks meet in one task.
+
+    As many of both as ``TILE_BYTES`` holds, so that each side travels to few tasks, but so few that cores share the work.
+    """
+    shards_held, blocks_held = (max(1, TILE_BYTES // (8 * max(1, dim * rows))) for rows in (shard_rows, block_rows))
+    block_side = min(blocks, blocks_held)
+    shard_side = min(shards_held, max(1, shards * -(-blocks // block_side) // (TILES_A_CORE * cores)))
+    if shard_side == 1:
+        block_side = min(block_side, max(1, shards * blocks // (TILES_A_CORE * cores)))
+    return shard_side, block_side
+
+
+def tiles(left: DataFrame, right: DataFrame, keys: Sequence[str], count: int, work: Callable, schema: str) -> DataFrame:
+    """``work`` on the rows of both sides with equal ``keys``, of which there are about ``count``.
+
+    Both sides are shuffled whatever their sizes are: a join would send the smaller one, repeated for all tiles, to the
+    driver wherever the plan takes it for a small table.
+    """
+    tasks = min(TILE_TASKS, 2 * count)
+    left, right = (side.repartition(tasks, *keys) for side in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+
+
 def merged(tops: DataFrame, parts: int, k: int, fan_in: int = FAN_IN) -> DataFrame:
     """Lists ``(query_id, part, top)`` with ``part < parts`` to one sorted list of at most ``k`` per query.
 

@@ -30,6 +30,8 @@ ANCHOR_ROWS = 256
 
 _PACKED = "grp bigint, block int, others int, ids binary, labels binary, vecs binary, vec_bytes int, starts binary, wanted binary"
 _TOPS = "query_id bigint, part int, top array<struct<neg: bigint, id: bigint, row: bigint>>"
+_HITS = pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.int64()), ("row", pa.int64())]))
+_NO_TOPS = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("top", _HITS)]).empty_table()
 _EXACT = float(1 << 53)
 
 
@@ -207,40 +209,51 @@ def _packed(rows: DataFrame, count: Column, others: Column, label: str) -> DataF
     return write_stage(dealt.select(*columns).groupBy("grp", "block").applyInArrow(_pack, _PACKED), label).df
 
 
-def _tiles(shards: DataFrame, blocks: DataFrame, kind: str, *args) -> DataFrame:
-    """Every block with every shard of its group, as lists ``(query_id, part, top)``.
+def _tiles(shards: DataFrame, blocks: DataFrame, sides: tuple[int, int], count: int, k: int, kind: str, *args) -> DataFrame:
+    """Every block with every shard of its group, as lists ``(query_id, part, top)`` of the best ``k`` of a tile.
 
-    Both carry the number of blocks of the other side, so that a pair is one key of the join.
+    A tile holds so many shards and blocks as ``sides`` says; there are about ``count``. Both carry the number of blocks of
+    the other side, so that a tile is one key of the shuffle.
     """
-    side = ["ids", "labels", "vecs", "vec_bytes", "starts", "wanted"]
-    left = shards.select(
-        "grp", F.struct(*side).alias("shard"), F.col("block").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("asked"),
-    )
-    right = blocks.select(
-        "grp", F.struct(*side).alias("anchors"), F.col("block").alias("asked"),
-        F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("part"),
-    )
+    shard_side, block_side = sides
+    columns = ["ids", "labels", "vecs", "vec_bytes", "starts", "wanted"]
+
+    def dealt(rows: DataFrame, own: str, own_side: int, other: str, other_side: int) -> DataFrame:
+        others = F.sequence(F.lit(0), F.floor((F.col("others") - 1) / other_side).cast("int"))
+        return rows.select("grp", F.floor(F.col("block") / own_side).cast("int").alias(own), F.explode(others).alias(other), *columns)
+
+    def scan(held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not held.num_rows or not asked.num_rows:
+            return _NO_TOPS
+        part = held["part"][0].as_py()
+        held = held.select(columns).to_pylist()
+        return pa.concat_tables(_tops(held, block, part, k, kind, args) for block in asked.select(columns).to_pylist())
+
+    left = dealt(shards, "part", shard_side, "call", block_side)
+    right = dealt(blocks, "call", block_side, "part", shard_side)
+    return toplists.tiles(left, right, ["grp", "part", "call"], count, scan, _TOPS)
+
+
+def _tops(shards: list[dict], block: dict, part: int, k: int, kind: str, args) -> pa.Table:
+    """The best ``k`` of all shards for every key of a block."""
+    found = [[np.empty(0, np.int64)] * 4]
+    for shard in shards:
+        tile = Tile(shard, block)
+        for key, at, scores in getattr(tile, kind)(*args):
+            found.append([np.full(len(at), key), -scores, tile.ids[at], tile.rows[at]])
+    keys, *hits = (np.concatenate(x) for x in zip(*found))
+    first = toplists.first_of(keys, k, *hits)
+    keys, size = np.unique(keys[first], return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    tops = pa.StructArray.from_arrays([pa.array(x[first], pa.int64()) for x in hits], ["neg", "id", "row"])
+    return pa.table(
+        [pa.array(keys, pa.int64()), pa.array(np.full(len(keys), part, np.int32)), pa.ListArray.from_arrays(pa.array(offsets), tops)],
+        schema=_NO_TOPS.schema,
+    )
+
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part, shard, block = (batch.column(c)[i].as_py() for c in range(3))
-                tile = Tile(shard, block)
-                keys, lists = [], []
-                for key, at, scores in getattr(tile, kind)(*args):
-                    keys.append(key)
-                    lists.append(
-                        [{"neg": -s, "id": a, "row": r} for s, a, r in zip(scores.tolist(), tile.ids[at].tolist(), tile.rows[at].tolist())]
-                    )
-                struct = pa.struct([("neg", pa.int64()), ("id", pa.int64()), ("row", pa.int64())])
-                yield pa.record_batch(
-                    [pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(lists, pa.list_(struct))],
-                    ["query_id", "part", "top"],
-                )
-
-    joined = left.join(right, ["grp", "part", "asked"]).select("part", "shard", "anchors")
-    return joined.mapInArrow(scan, _TOPS)
+def _tile_count(shards: int, blocks: int, sides: tuple[int, int]) -> int:
+    return math.ceil(shards / sides[0]) * math.ceil(blocks / sides[1])
 
 
 def _blocks(n: Column, rows: int) -> Column:
@@ -288,8 +301,10 @@ def hard_negatives(
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(asked, 1)).alias("m"))
     sizes = write_stage(sizes, "sizes").df
     counts = sizes.select("label", _blocks(F.col("n"), shard_rows).alias("shards"), _blocks(F.col("m"), anchor_rows).alias("blocks"))
-    widest = counts.agg(F.max("shards"), F.sum("blocks")).first()
-    if not widest[1]:
+    with_anchors = F.when(F.col("blocks") > 0, F.col("shards"))
+    # The widest label's shards and blocks, and all shards of labels with anchors.
+    widest, most, every = counts.agg(F.max(with_anchors), F.max("blocks"), F.sum(with_anchors)).first()
+    if not most:
         schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
         return df.sparkSession.createDataFrame([], schema)
     placed = lookup_join(rows, counts, ["label"]).where("blocks > 0").withColumn("grp", F.col("label"))
@@ -297,7 +312,10 @@ def hard_negatives(
 
     shards = _packed(placed, F.col("shards"), F.col("blocks"), "shards")
     blocks = _packed(placed.where(asked), F.col("blocks"), F.col("shards"), "anchors")
-    best = toplists.merged(_tiles(shards, blocks, "positives", positives), widest[0], positives)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sides = toplists.tile_sides(every, most, shard_rows, anchor_rows, dim, cores)
+    tops = _tiles(shards, blocks, sides, _tile_count(every, most, sides), positives, "positives", positives)
+    best = toplists.merged(tops, math.ceil(widest / sides[0]), positives)
     best = write_stage(best.where(F.size("top") > 0), "positives").df
 
     n, m = rows.count(), best.count()
@@ -307,7 +325,9 @@ def hard_negatives(
     one = F.lit(0).cast("bigint")
     shards = _packed(rows.withColumn("grp", one), F.lit(all_shards), F.lit(all_blocks), "shards")
     blocks = _packed(seeking.withColumn("grp", one), F.lit(all_blocks), F.lit(all_shards), "anchors")
-    found = toplists.merged(_tiles(shards, blocks, "negatives", negatives, percent, positives), all_shards, negatives)
+    sides = toplists.tile_sides(all_shards, all_blocks, shard_rows, anchor_rows, dim, cores)
+    tops = _tiles(shards, blocks, sides, _tile_count(all_shards, all_blocks, sides), negatives, "negatives", negatives, percent, positives)
+    found = toplists.merged(tops, math.ceil(all_shards / sides[0]), negatives)
 
     pairs = best.select(F.col("query_id").alias("row"), F.posexplode("top").alias("slot", "hit"))
     pairs = pairs.join(placed.where(asked).select("row", F.col("id").alias("anchor_id")), "row").select(
